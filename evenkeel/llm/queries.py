@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import decontamination
+from evenkeel.llm import decontamination, jaccard_join, packing
 from evenkeel.llm.common import table
 
 
@@ -10,5 +10,17 @@ def op1_decontamination(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {"op1_decontamination": op1_decontamination}
+def op7_jaccard_join(spark, sf_dir):
+    return jaccard_join.classify(table(spark, sf_dir, "documents"))
+
+
+def op9_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {
+    "op1_decontamination": op1_decontamination,
+    "op7_jaccard_join": op7_jaccard_join,
+    "op9_packing": op9_packing,
+}
 ORACLE_SQL: dict[str, str] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import decontamination, jaccard_join, packing
+from evenkeel.llm import decontamination, jaccard_join, line_dedup, packing
 from evenkeel.llm.common import table
 
 
@@ -10,6 +10,10 @@ def op1_decontamination(spark, sf_dir):
     return decontamination.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.classify(table(spark, sf_dir, "documents"))
 
@@ -20,6 +24,7 @@ def op9_packing(spark, sf_dir):
 
 QUERIES = {
     "op1_decontamination": op1_decontamination,
+    "op2_line_dedup": op2_line_dedup,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_packing": op9_packing,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import decontamination, jaccard_join, line_dedup, packing
+from evenkeel.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
 from evenkeel.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark, sf_dir):
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.classify(table(spark, sf_dir, "documents"))
 
@@ -25,6 +29,7 @@ def op9_packing(spark, sf_dir):
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
+    "op4_toxicity": op4_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_packing": op9_packing,
 }

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
+from evenkeel.llm import decontamination, jaccard_join, license_scan, line_dedup, packing, toxicity
 from evenkeel.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark, sf_dir):
+    return license_scan.scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,11 +30,19 @@ def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark, sf_dir):
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
     "op1_decontamination": op1_decontamination,
     "op2_line_dedup": op2_line_dedup,
+    "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
     "op9_packing": op9_packing,
+    "pipeline": pipeline,
 }
 ORACLE_SQL: dict[str, str] = {}

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import decontamination, jaccard_join, license_scan, line_dedup, packing, toxicity
+from evenkeel.llm import decontamination, fingerprints, jaccard_join, license_scan, line_dedup, packing, toxicity
 from evenkeel.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.classify(table(spark, sf_dir, "documents"))
 
 
+def op8_fingerprints(spark, sf_dir):
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
     "op7_jaccard_join": op7_jaccard_join,
+    "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "pipeline": pipeline,
 }

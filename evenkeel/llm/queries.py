@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import decontamination, fingerprints, jaccard_join, license_scan, line_dedup, packing, toxicity
+from evenkeel.llm import chat_format, decontamination, fingerprints, jaccard_join, license_scan, line_dedup, packing, toxicity
 from evenkeel.llm.common import table
 
 
@@ -22,6 +22,10 @@ def op4_toxicity(spark, sf_dir):
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_chat_format(spark, sf_dir):
+    return chat_format.report(table(spark, sf_dir, "conversations"))
+
+
 def op7_jaccard_join(spark, sf_dir):
     return jaccard_join.classify(table(spark, sf_dir, "documents"))
 
@@ -45,9 +49,10 @@ QUERIES = {
     "op2_line_dedup": op2_line_dedup,
     "op3_license_scan": op3_license_scan,
     "op4_toxicity": op4_toxicity,
+    "op6_chat_format": op6_chat_format,
     "op7_jaccard_join": op7_jaccard_join,
     "op8_fingerprints": op8_fingerprints,
     "op9_packing": op9_packing,
     "pipeline": pipeline,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op6_chat_format": chat_format.REPORT_SQL}

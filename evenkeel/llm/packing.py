@@ -30,7 +30,7 @@ from evenkeel.llm.common import materialise, small_batches
 
 CAPACITY = 2048
 END = 1
-CACHE_WORDS = 400_000
+CACHE_WORDS = 800_000
 
 #: Texts of these characters only are cut by the pattern below just as the tokenizer cuts them.
 _PLAIN = re.compile("[\\x00-\\x7fÀ-ÖØ-öø-ÿ]*")
@@ -47,26 +47,43 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[str, bytes] = {}
-
-    def piece(self, word: str) -> bytes:
-        ids = self.known.get(word)
-        if ids is None:
-            if len(self.known) >= CACHE_WORDS:
-                self.known.clear()
-            ids = self.known[word] = np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        return ids
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.closes = np.zeros(max(vocabulary.values()) + 1, bool)  # tokens that end a piece
+        self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
+
+    def learn(self, pieces: set[str]) -> None:
+        """Put the ids of these pieces in the table: words by one call for many, others one by one."""
+        if len(self.known) + len(pieces) > CACHE_WORDS:
+            self.known.clear()
+        words = [p for p in pieces if p.isalpha()]
+        for at in range(0, len(words), 4000):
+            some = words[at : at + 4000]
+            ids = self.encode(" ".join(some))
+            ends = np.flatnonzero(self.closes[ids]) + 1
+            if len(ends) == len(some):
+                data, bounds = ids.tobytes(), (4 * ends).tolist()
+                self.known.update(zip(some, (data[a:b] for a, b in zip([0, *bounds], bounds, strict=False)), strict=True))
+        for p in pieces:
+            if p not in self.known:
+                self.known[p] = self.encode(p).tobytes()
+
+    def all_ids(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each text, END last."""
+        end = np.array([END], "<u4").tobytes()
+        cuts = [_PIECE.findall(t.lower()) if _PLAIN.fullmatch(t) and not _ODD.search(t) else None for t in texts]
+        known = self.known
+        new = set().union(*(c for c in cuts if c)).difference(known)
+        if len(known) + len(new) > CACHE_WORDS:  # the table starts anew
+            new = set().union(*(c for c in cuts if c))
+        if new:
+            self.learn(new)
+        return [self.encode(t).tobytes() + end if c is None else b"".join(map(known.__getitem__, c)) + end for t, c in zip(texts, cuts, strict=True)]
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids, END last."""
-        end = np.array([END], "<u4").tobytes()
-        if _PLAIN.fullmatch(text) and not _ODD.search(text):
-            known, out = self.known, []
-            for word in _PIECE.findall(text.lower()):
-                ids = known.get(word)
-                out.append(self.piece(word) if ids is None else ids)
-            out.append(end)
-            return b"".join(out)
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes() + end
+        return self.all_ids([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -90,8 +107,8 @@ def cut(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY) -> D
         seen: Counter[int] = Counter()
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids = encode.ids(text or "")
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encode.all_ids(texts), strict=True):
                 n = len(ids) // 4
                 for start in range(0, n, capacity):
                     length = min(capacity, n - start)

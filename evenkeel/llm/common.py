@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,6 +55,12 @@ def discard(df: DataFrame) -> None:
             path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of finished plans now: they go when the driver collects what held them."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def fresh_name(columns: list[str], wanted: str) -> str:
     """wanted, with underscores added until no column has it (names compare without case, as Spark's do)."""
     taken = {c.lower() for c in columns}

@@ -1,46 +1,71 @@
 """Near-duplicate lines by an exact set-similarity join; the later line of each matching pair is removed.
 
-DataFrame operations only. A line's tokens are its distinct runs of letters, digits and characters
-beyond ASCII, lower-cased. Lines match when |common tokens| / |all tokens| is SIMILARITY per cent or
-more. Lines stand in the order of doc_id (null last), text, line number. A line goes when an earlier
-line matches it, whether or not that line stays; so of equal lines the first can stay. A line without
-tokens is never removed.
-
-1. Equal lines become one, named by its first place; one shuffle of lines with a sum before it.
-2. Tokens are ordered by rarity: their number in BUCKETS buckets, a table of fixed size, then hash.
-3. Lines that match share one of their n - ceil(0.75 n) + 1 rarest tokens (prefix filter). These rows
-   are sorted by token and place in one shuffle; rows whose token no other line has are dropped.
-4. In two rounds each line meets a few earlier lines of its tokens (the first ones and its
-   neighbours), a number of pairs linear in the rows; lines that match one are settled. Lines still
-   unsettled, few in any large group of copies, then meet all earlier lines of their tokens.
+DataFrame operations only. A line's words are its runs between spaces (tabs and the like count as
+spaces), lower-cased; its tokens are its distinct shingles of five words, or all its words as one token
+if they are fewer. Lines match when |common tokens| / |all tokens| is SIMILARITY per cent or more. Lines
+stand in the order of doc_id (null last), text, line number. A line goes when an earlier line matches
+it, whether or not that line stays; so of equal lines the first can stay. A line without words is never
+removed.
+
+1. Equal lines are one class, named by a hash and placed at the first of them. Only hashes and places
+   are shuffled.
+2. Tokens are ordered by rarity: how often the BUCKETS buckets of token hashes occur, a table of fixed
+   size, then hash.
+3. Lines that match share one of their n - ceil(0.75 n) + 1 rarest tokens (prefix filter). These rows,
+   once for each class, are sorted by token in one shuffle; rows whose token no other class has go.
+4. In two rounds each class meets a few earlier classes of its tokens (the first ones and its
+   neighbours), a number of pairs linear in the rows; classes that match one are settled. Those still
+   unsettled, few in any large group of copies, then meet all earlier classes of their tokens.
    Pairs pass the length filter and the positional filter before they are made, and are verified by
    their whole token sets.
 
-Tokens are compared by 55-bit hashes within one rarity.
+Classes are named by 64 of the 128 bits that find equal lines; tokens are compared by 55-bit hashes
+within one rarity.
 
 Defined cases: null text stays null, empty text stays; rows that repeat doc_id and text are one
 document and get one verdict; texts of any length are cut whole; an empty table gives no rows;
-further columns pass through. A document all of whose lines with tokens are removed is left with its
+further columns pass through. A document all of whose lines with words are removed is left with its
 blank lines; deduplicate() drops it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import fresh_name, materialise
+from evenkeel.llm.common import fresh_name, materialise, release_shuffles
 
 SIMILARITY = 75
-BUCKETS = 1 << 16
+SHINGLE = 5
+BUCKETS = 1 << 14
 _HASH_BITS = 55
 _LINE_BITS = 24
 _LAST = 0x7FFFFFFFFFFFFFFF
+_WORD = r"[^ \t\r\f\x0B]"
 ID = ["d", "o"]  # a line's place: document, then text and line number
 
 
-def tokens(line: Column) -> Column:
-    return F.array_remove(F.array_distinct(F.split(F.lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+")), "")
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def words_of(line: Column) -> Column:
+    plain = F.lower(line)
+    plain = F.when(plain.rlike(r"[\t\r\f\x0B]"), F.translate(plain, "\t\r\f\x0b", "    ")).otherwise(plain)
+    return F.array_remove(F.split(plain, " "), "")
+
+
+def token_hashes(line: Column) -> Column:
+    """The distinct tokens of a line with words, as 64-bit hashes."""
+
+    def shingled(h: Column) -> Column:
+        each = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(SHINGLE))))
+        return F.when(F.size(h) >= SHINGLE, F.array_distinct(each)).otherwise(F.array(F.xxhash64(h)))
+
+    return let(F.transform(words_of(line), lambda w: F.xxhash64(w)), shingled)
 
 
 def document_key() -> list[Column]:
@@ -49,43 +74,71 @@ def document_key() -> list[Column]:
     return [F.coalesce("doc_id", F.lit(_LAST)).alias("d"), text_bits.alias("t")]
 
 
-def distinct_lines(docs: DataFrame) -> DataFrame:
-    """d, o, line: each different line that has tokens, at its first place."""
+def all_lines(docs: DataFrame) -> DataFrame:
+    """d, t, at, line: every line with words."""
     rows = docs.where("text is not null").select(*document_key(), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    rows = rows.where(F.col("line").rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
-    place = F.struct("d", (F.shiftleft("t", _LINE_BITS) + F.col("at")).alias("o"), "line")
-    keyed = rows.select(F.xxhash64("line").alias("k1"), F.xxhash64(F.lit(7), "line").alias("k2"), place.alias("p"))
-    return keyed.groupBy("k1", "k2").agg(F.min("p").alias("p")).select("p.d", "p.o", "p.line")
+    return rows.where(F.col("line").rlike(_WORD))
+
+
+def line_name(line: Column) -> Column:
+    return F.xxhash64(line)
+
 
+def line_classes(docs: DataFrame) -> DataFrame:
+    """k, d, o: each different line, by name, and its first place."""
+    rows = all_lines(docs).select(line_name(F.col("line")).alias("k"), F.xxhash64(F.lit(7), "line").alias("k2"), F.struct("d", (F.shiftleft("t", _LINE_BITS) + F.col("at")).alias("o")).alias("p"))
+    return rows.groupBy("k", "k2").agg(F.min("p").alias("p")).select("k", "p.d", "p.o")
 
-def rarity_levels(lines: DataFrame) -> DataFrame:
-    """One row with an array of BUCKETS levels, four for each doubling of the number of lines with the bucket's tokens."""
-    bucket = F.xxhash64("token").bitwiseAND(F.lit(BUCKETS - 1))
-    counts = lines.select(F.explode(tokens(F.col("line"))).alias("token")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
-    every = lines.sparkSession.range(BUCKETS).select(F.col("id").alias("bucket")).join(counts, "bucket", "left")
-    level = F.least(F.floor(4 * F.log2(F.coalesce("n", F.lit(1)))), F.lit(250)).cast("int")
-    pairs = F.sort_array(F.collect_list(F.struct("bucket", level.alias("level"))))  # BUCKETS rows, whatever the input
-    return every.agg(pairs.alias("v")).select(F.transform("v", lambda x: x["level"]).alias("levels"))
 
+def rarity_levels(docs: DataFrame) -> Column:
+    """A literal array of BUCKETS levels, eight for each doubling of the number of tokens in the bucket.
 
-def signatures(lines: DataFrame, levels: DataFrame) -> DataFrame:
-    """d, o, sig: the line's tokens as numbers that sort by rarity, rarest first."""
-    hashes = F.transform(tokens(F.col("line")), lambda t: F.xxhash64(t))
-    table = levels.scalar()
+    Only BUCKETS counts come to the driver, whatever the input.
+    """
+    tokens = all_lines(docs).select(F.explode(token_hashes(F.col("line"))).alias("token"))
+    counts = tokens.groupBy(F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
+    found = {r["bucket"]: r["level"] for r in counts.select("bucket", F.least(F.floor(8 * F.log2("n")), F.lit(250)).alias("level")).collect()}
+    return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")
+
+
+def signature(line: Column, levels: Column) -> Column:
+    """The tokens of a line as numbers that sort by rarity, rarest first."""
 
     def ranked(h: Column) -> Column:
-        level = F.get(F.col("levels"), h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+        level = F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
         return F.shiftleft(level, _HASH_BITS) + h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
 
-    rows = lines.select(*ID, hashes.alias("hashes"), table.alias("levels"))
-    return rows.select(*ID, F.sort_array(F.transform("hashes", ranked)).alias("sig"))
+    return F.sort_array(F.transform(token_hashes(line), ranked))
+
+
+def prefix_rows(docs: DataFrame, levels: Column) -> DataFrame:
+    """token, k, n, pos: the rarest tokens of each different line."""
+
+    def prefix(sig: Column) -> Column:
+        n = F.size(sig)
+        rarest = F.slice(sig, F.lit(1), (n - F.ceil(n * SIMILARITY / 100) + 1).cast("int"))
+        return F.transform(rarest, lambda token, i: F.struct(token.alias("token"), n.alias("n"), i.alias("pos")))
 
+    rows = all_lines(docs).select("line", line_name(F.col("line")).alias("k"))
+    return rows.select("k", F.explode(let(signature(F.col("line"), levels), prefix)).alias("x")).select("x.token", "k", "x.n", "x.pos").distinct()
 
-def prefix_rows(sigs: DataFrame) -> DataFrame:
-    """token, place, n, pos: the rarest tokens of each line."""
-    n = F.size("sig")
-    prefix = F.slice("sig", F.lit(1), (n - F.ceil(n * SIMILARITY / 100) + 1).cast("int"))
-    return sigs.select(*ID, n.alias("n"), F.posexplode(prefix).alias("pos", "token"))
+
+def shared_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
+    """token, d, o, n, pos: the rows whose token more than one class has."""
+    by = Window.partitionBy("token").orderBy("k")
+    met = rows.select("*", (F.lag("k").over(by).isNotNull() | F.lead("k").over(by).isNotNull()).alias("met")).where("met")
+    return met.join(classes, "k").select("token", *ID, "n", "pos")
+
+
+def live_signatures(docs: DataFrame, live: DataFrame, levels: Column) -> DataFrame:
+    """d, o, sig for the given places of lines."""
+    number = F.col("o").bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).cast("int")
+    wanted = live.groupBy("d", F.shiftright("o", _LINE_BITS).alias("t")).agg(F.collect_set(number).alias("at"))
+    # Rows that repeat a document have the same lines.
+    own = docs.where("text is not null").select(*document_key(), "text").join(wanted, ["d", "t"])
+    lines = own.select("d", "t", F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
+    rows = lines.select("d", (F.shiftleft("t", _LINE_BITS) + F.col("at")).alias("o"), F.get("lines", F.col("at")).alias("line"))
+    return rows.select(*ID, signature(F.col("line"), levels).alias("sig")).dropDuplicates(ID)
 
 
 def neighbours(rows: DataFrame) -> DataFrame:
@@ -121,12 +174,15 @@ def matched(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 
 def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All different lines (d, o, line) at their first places, and the places (d, o) of those that match an earlier one."""
-    lines = materialise(distinct_lines(docs), "lines")
-    levels = materialise(rarity_levels(lines), "levels")
-    rows = materialise(neighbours(prefix_rows(signatures(lines, levels))), "prefixes")
-    live = lines.join(rows.select(*ID).distinct(), ID, "left_semi")
-    sigs = materialise(signatures(live, levels), "signatures")
+    """The first places (d, o) of all different lines, and of those the ones that match an earlier line."""
+    spark = docs.sparkSession
+    classes = materialise(line_classes(docs), "lines")
+    levels = rarity_levels(docs)
+    shared = materialise(shared_rows(prefix_rows(docs, levels), classes), "prefixes")
+    release_shuffles(spark)
+    rows = materialise(neighbours(shared), "neighbours")
+    sigs = materialise(live_signatures(docs, shared.select(*ID).distinct(), levels), "signatures")
+    release_shuffles(spark)
     gone = materialise(matched(named_pairs(rows, ["f1", "g1"]), sigs), "gone")
     rest = rows.join(gone, ID, "left_anti").where("g1 is not null")
     more = materialise(matched(named_pairs(rest, ["f2", "f3", "g2", "g4"]), sigs), "gone")
@@ -136,11 +192,13 @@ def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     order = (F.col("d2") < F.col("d")) | ((F.col("d2") == F.col("d")) & (F.col("o2") < F.col("o")))
     fits = order & may_match(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"))
     pairs = late.join(early, (late["token"] == early["token"]) & fits).select(*ID, "d2", "o2").distinct()
-    return lines, gone.unionByName(materialise(matched(pairs, sigs), "gone"))
+    gone = gone.unionByName(materialise(matched(pairs, sigs), "gone"))
+    release_shuffles(spark)
+    return classes.select(*ID), gone
 
 
 def kept_numbers(docs: DataFrame) -> DataFrame:
-    """d, t, kept: for each document with any, the numbers of its lines with tokens that stay."""
+    """d, t, kept: for each document with any, the numbers of its lines with words that stay."""
     lines, gone = removed_lines(docs)
     stay = lines.select(*ID).join(gone, ID, "left_anti")
     number = F.col("o").bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).cast("int")
@@ -148,14 +206,14 @@ def kept_numbers(docs: DataFrame) -> DataFrame:
 
 
 def mark(docs: DataFrame, name: str = "line_dedup") -> DataFrame:
-    """docs with a struct: text (without the removed lines), n_lines, n_removed, emptied (no line with tokens is left of some)."""
+    """docs with a struct: text (without the removed lines), n_lines, n_removed, emptied (no line with words is left of some)."""
     name = fresh_name(docs.columns, name)
     columns = docs.columns
     kept = kept_numbers(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")))
     d, t = document_key()
     keys = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), d, t)
     rows = keys.join(kept, ["d", "t"], "left").select("row", "kept", F.split("row.text", "\n").alias("parts"))
-    blank = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: ~F.get(F.col("parts"), i).rlike(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"))
+    blank = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: ~F.get(F.col("parts"), i).rlike(_WORD))
     rows = rows.select("row", "parts", "kept", F.when(F.col("parts").isNotNull(), blank).alias("blank"))
     stay = F.array_sort(F.concat(F.coalesce("kept", F.expr("cast(array() as array<int>)")), "blank"))
     rows = rows.select("row", "parts", "kept", "blank", stay.alias("stay"))

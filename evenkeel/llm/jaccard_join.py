@@ -9,14 +9,17 @@ words make one shingle of the whole sequence; no words, no set and no link. Two
 2. Matrix rows (shingle, class) are made for the rarest n - ceil(0.75 n) + 1 shingles of each set: two
    sets that link share one of them. One shuffle by shingle, read as sorted runs, keeps the shingles
    that more than one class has.
-3. Groups of similar classes form in rounds. A round names a pivot for each shingle (under another
-   random order each time); every class is verified against the pivot it shares most rows with, so a
-   round costs one comparison a class, however large the group. Linked classes are one group.
-4. A group's union of matrix shingles bounds its overlap with a class outside: a class and a group
-   without a common matrix row cannot hold a link, and are not opened. What is left, classes against
-   groups that share rows, is opened: members of fitting size are verified pairwise. Pairs inside a
-   group are never made, as they cannot change the components.
-5. Components by label propagation with pointer jumping over the links found.
+3. Of two sets a, b with c common matrix rows, |a & b| <= c + max(n_a - p_a, n_b - p_b), p the number of
+   matrix rows of a set, and a link needs |a & b| >= 3/7 (n_a + n_b): this bounds c from below, by sizes.
+4. In rounds similar classes are gathered in groups: each class is verified against one pivot, of those
+   that its shingles name (under another random order each round) the one with most common rows that
+   passes the bound. A round costs one comparison a class, however large a group of copies is.
+   Linked classes become one group.
+5. The rows summed by group are the token-group matrix: each group's union of matrix shingles, with the
+   group's least and largest set. How many of a class's rows a group's union holds bounds c for all its
+   members; only groups that qualify are opened, and their members of fitting size verified. Pairs
+   within a group, which cannot change the components, are never made.
+6. Components by label propagation with pointer jumping over the links found.
 
 Hashes are 64 bits (a class: 128 bits). A link is decided on the shingles of the two whole texts.
 
@@ -31,25 +34,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from evenkeel.llm.common import materialise, small_batches
+from evenkeel.llm.common import discard, materialise, release_shuffles, small_batches
 from evenkeel.llm.components import components
 from evenkeel.llm.wordscan import NON_SPACE, Words, blocks, mix, rolling, scan_column
 
 SHINGLE = 5
 SIMILARITY = 75  # per cent
-BUCKETS = 1 << 18
-MAX_ROUNDS = 10
+BUCKETS = 1 << 20
+CHUNK = 1 << 14  # buckets in one row of partial counts
+MARKS = 1 << 24
+MAX_ROUNDS = 4
 
 SALT = np.uint64(0xD6E8FEB86659FD93)
 NOTHING = np.zeros(0, np.uint64)
 
 
 def bucket(s: np.ndarray) -> np.ndarray:
-    return (s >> np.uint64(46)).astype(np.int64)
+    return (s >> np.uint64(44)).astype(np.int64)
 
 
 def digest(s: np.ndarray) -> tuple[int, int]:
@@ -91,26 +95,38 @@ def describe_sets(docs: DataFrame) -> DataFrame:
     def run(batches):
         for part, sets in each_set(batches, 1):
             h = [digest(s) for s in sets]
-            columns = [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in h], pa.int64()), pa.array([y for _, y in h], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "h1", "h2"])
+            columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in h], pa.int64()), pa.array([y for _, y in h], pa.int64())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_shingles", "h1", "h2"])
 
     return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
 
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """How many shingles of all documents fall in each of BUCKETS buckets: a table of fixed size."""
+    """How many shingles of all documents fall in each of BUCKETS buckets: a table of fixed size.
 
-    def run(batches):
-        total = np.zeros(BUCKETS, np.int64)
+    A task sends its counts as BUCKETS / CHUNK rows; what receives a chunk adds them up as they come.
+    """
+
+    def count(batches):
+        total = np.zeros(BUCKETS, np.uint32)
         for _, sets in each_set(batches, 0):
-            total += np.bincount(bucket(np.concatenate([NOTHING, *sets])), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["bucket", "n"])
+            for s in sets:
+                np.add.at(total, bucket(s), np.uint32(1))
+        chunks = total.reshape(-1, CHUNK)
+        at = np.flatnonzero(chunks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([chunks[k].astype("<u4").tobytes() for k in at], pa.binary())], ["chunk", "counts"])
 
-    rows = docs.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    def add(batches):
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                held[k] = held.get(k, 0) + np.frombuffer(data, "<u4").astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in held.values()], pa.binary())], ["chunk", "counts"])
+
+    rows = docs.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
     out = np.zeros(BUCKETS, np.int64)
-    got = rows.toArrow()
-    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    for k, data in rows.collect():
+        out[k * CHUNK : (k + 1) * CHUNK] += np.frombuffer(bytes(data), "<i8")
     return out
 
 
@@ -155,21 +171,48 @@ def shared_rows(rows: DataFrame) -> DataFrame:
     return rows.repartition("s").sortWithinPartitions("s", "h1").mapInArrow(run, "s long, h1 long")
 
 
-def class_texts(docs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(h1, text): a whole text for each of the classes."""
+def marks_of(names: DataFrame) -> np.ndarray:
+    """A bit table of MARKS bits, packed, in which the bits of all the names (h1) are set."""
+
+    def set_bits(batches):
+        bits = np.zeros(MARKS, bool)
+        for batch in batches:
+            bits[batch.column(0).to_numpy().view(np.uint64) % np.uint64(MARKS)] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()] if bits.any() else [], pa.binary())], ["bits"])
+
+    out = np.zeros(MARKS // 8, np.uint8)
+    for (data,) in names.coalesce(32).mapInArrow(set_bits, "bits binary").toLocalIterator():  # 32 tables at most, one by one
+        out |= np.frombuffer(bytes(data), np.uint8)
+    return out
+
+
+def class_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
+    """(h1, text): a whole text for each of the classes named (h1).
+
+    Texts are read where they lie: a bit table of fixed size tells which may be wanted, so that only those
+    are shuffled; of a class's copies a task gives one.
+    """
+    marks = docs.sparkSession.sparkContext.broadcast(marks_of(names))
 
     def run(batches):
+        bits = marks.value
+        given: set[int] = set()
         for part, sets in each_set(batches, 0):
-            h1 = pa.array([digest(s)[0] for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([h1, part.column(0)], ["h1", "text"])
+            at, h1 = [], []
+            for i, s in enumerate(sets):
+                if len(s):
+                    name = digest(s)[0]
+                    bit = (name & 0xFFFFFFFFFFFFFFFF) % MARKS
+                    if bits[bit >> 3] >> (7 - (bit & 7)) & 1 and name not in given:
+                        given.add(name)
+                        at.append(i)
+                        h1.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), part.column(0).take(pa.array(at, pa.int64()))], ["h1", "text"])
 
-    own = docs.join(classes.select(F.col("doc_id").alias("rep")).distinct(), F.col("doc_id").eqNullSafe(F.col("rep")), "left_semi")
-    found = own.select("text").mapInArrow(run, "h1 long, text string")
-    # Repeated doc_ids bring texts of other classes, or one text twice.
-    return found.join(classes.select("h1"), "h1", "left_semi").dropDuplicates(["h1"])
+    return docs.mapInArrow(run, "h1 long, text string").join(names, "h1", "left_semi").dropDuplicates(["h1"])
 
 
-def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """pairs (a, b) with linked: whether the sets of the two classes link, by their whole texts."""
 
     def run(batches):
@@ -181,34 +224,59 @@ def verify(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                 left = shingles(scan_column(part.column(2), NON_SPACE))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([links(s, right[x]) for s, x in zip(left, b, strict=True)], pa.bool_())], ["a", "b", "linked"])
 
+    pairs = materialise(pairs, "pairs")
+    names = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
+    texts = materialise(class_texts(docs, names), "texts")
     one = texts.select(F.col("h1").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("h1").alias("b"), F.col("text").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean")
-
+    out = materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean"), "verified")
+    discard(texts)
+    return out
 
-def best_pivots(shared: DataFrame, labels: DataFrame, turn: int) -> DataFrame:
-    """For each class the pivot, of another group, with which it shares most matrix rows in this round's order."""
-    rows = shared.join(labels, "h1")
-    first = F.min(F.struct(F.xxhash64(F.lit(turn), "h1").alias("rank"), F.col("h1").alias("b"), F.col("label").alias("of")))
-    pivots = rows.groupBy("s").agg(first.alias("v")).select("s", "v.b", "v.of")
-    met = rows.join(pivots, "s").where("label <> of").groupBy(F.col("h1").alias("a"), "b").agg(F.count("*").alias("n"))
-    return met.groupBy("a").agg(F.max(F.struct("n", "b")).alias("v")).select("a", "v.b")
 
+def least_common(n: Column, lo: Column, hi: Column) -> Column:
+    """How many common matrix rows a set of n shingles needs for a link with one of lo to hi; null where no size fits."""
+    low = F.greatest(lo, F.ceil(n * SIMILARITY / 100))
+    high = F.least(hi, F.floor(n * 100 / SIMILARITY))
+    need = lambda m: (n + m) * SIMILARITY / (100 + SIMILARITY) - F.greatest(n, m) * SIMILARITY / 100
+    # Over m the need rises up to n and falls from there on, so its least is at an end.
+    return F.when(low <= high, F.least(need(low), need(high)))
 
-def crossing(shared: DataFrame, labels: DataFrame) -> int:
-    """How many pairs of matrix rows have one shingle and two groups."""
-    of_group = shared.join(labels, "h1").groupBy("s", "label").agg(F.count("*").alias("k"))
-    of_shingle = of_group.groupBy("s").agg(F.sum("k").alias("m"), F.sum(F.col("k") * F.col("k")).alias("q"))
-    return int(of_shingle.agg(F.sum(F.col("m") * F.col("m") - F.col("q"))).first()[0] or 0) // 2
 
+def qualifying(rows: DataFrame) -> DataFrame:
+    """(h1, n, open): the groups that a class must be compared with, by the bound. rows: s, h1, n, label.
 
-def opened(shared: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of classes in different groups that share a matrix row and whose sizes allow a link, each once."""
-    mixed = shared.join(labels, "h1").groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("s")
-    rows = shared.join(mixed, "s").join(labels, "h1").join(sizes, "h1")
-    x, y = rows.alias("x"), rows.alias("y")
-    fits = (F.col("x.h1") < F.col("y.h1")) & (F.col("x.label") != F.col("y.label")) & (F.least("x.n", "y.n") * 100 >= F.greatest("x.n", "y.n") * SIMILARITY)
-    return x.join(y, (F.col("x.s") == F.col("y.s")) & fits).select(F.col("x.h1").alias("a"), F.col("y.h1").alias("b")).distinct()
+    Of two groups the one with fewer classes asks and the other is opened (of equals, that of the smaller label asks).
+    """
+    members = F.count_distinct("h1").alias("m")
+    groups = rows.groupBy(F.col("label").alias("open")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), members)
+    mixed = rows.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("s")
+    own = groups.select(F.col("open").alias("label"), F.col("m").alias("own"))
+    rows = rows.join(mixed, "s").join(own, "label")
+    matrix = rows.select("s", F.col("label").alias("open")).distinct().join(groups, "open")
+    least = least_common(F.col("n"), F.col("lo"), F.col("hi"))
+    asks = (F.col("m") > F.col("own")) | ((F.col("m") == F.col("own")) & (F.col("open") > F.col("label")))
+    x, y = rows.alias("x"), matrix.alias("y")
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & asks & least.isNotNull())
+    met = met.groupBy("h1", "n", "open", "lo", "hi").agg(F.count("*").alias("c"))
+    return met.where(F.col("c") >= least).select("h1", "n", "open")
+
+
+def best_pivots(rows: DataFrame, turn: int) -> DataFrame:
+    """For each class the pivot, of another group, with most common rows among those this round's order names, if the bound allows a link."""
+    first = F.min(F.struct(F.xxhash64(F.lit(turn), "h1").alias("rank"), F.col("h1").alias("b"), F.col("label").alias("of"), F.col("n").alias("m")))
+    pivots = rows.groupBy("s").agg(first.alias("v")).select("s", "v.b", "v.of", "v.m")
+    met = rows.join(pivots, "s").where("label <> of").groupBy(F.col("h1").alias("a"), "n", "b", "m").agg(F.count("*").alias("c"))
+    met = met.where(F.col("c") >= least_common(F.col("n"), F.col("m"), F.col("m")))
+    return met.groupBy("a").agg(F.max(F.struct("c", "b")).alias("v")).select("a", "v.b")
+
+
+def opened(rows: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of a class and a member of a group that qualifies for it, of sizes that allow a link, each once."""
+    members = labels.join(sizes, "h1").select(F.col("label").alias("open"), F.col("h1").alias("other"), F.col("n").alias("m"))
+    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * SIMILARITY
+    pairs = qualifying(rows).join(members, "open").where(fits)
+    return pairs.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")).distinct()
 
 
 def merge(labels: DataFrame, links_found: DataFrame) -> DataFrame:
@@ -228,21 +296,24 @@ def classify(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
     sets = materialise(describe_sets(docs), "sets")
     classes = materialise(sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "classes")
-    counts = spark.sparkContext.broadcast(bucket_counts(docs.select("text")))
-    shared = materialise(shared_rows(matrix_rows(docs.select("text"), counts)), "shared")
-    live = materialise(classes.join(shared.select("h1").distinct(), "h1", "left_semi"), "live")
-    texts = materialise(class_texts(docs, live), "texts")
-    labels = live.select("h1", F.col("h1").alias("label"))
-    most = max(20_000, shared.count() // 2)
-    left = crossing(shared, labels)
+    texts = docs.select("text")
+    counts = spark.sparkContext.broadcast(bucket_counts(texts))
+    shared = materialise(shared_rows(matrix_rows(texts, counts)), "shared")
+    release_shuffles(spark)
+    rows = materialise(shared.join(classes.select("h1", "n"), "h1"), "rows")
+    discard(shared)
+    sizes = rows.select("h1", "n").distinct()
+    labels = materialise(sizes.select("h1", F.col("h1").alias("label")), "labels")
     for turn in range(MAX_ROUNDS):
-        if left <= most:
-            break
-        labels = merge(labels, materialise(verify(best_pivots(shared, labels, turn), texts), "round").where("linked"))
-        before, left = left, crossing(shared, labels)
-        if left > 0.95 * before:  # pivots no longer find links
+        tried = verify(best_pivots(rows.join(labels, "h1"), turn), texts)
+        links_found = tried.where("linked").count()
+        if links_found:
+            labels = merge(labels, tried.where("linked"))
+        release_shuffles(spark)
+        if links_found < max(100, tried.count() // 20):  # what is left is few, or not alike
             break
-    labels = merge(labels, verify(opened(shared, labels, live.select("h1", "n")), texts).where("linked"))
+    labels = merge(labels, verify(opened(rows.join(labels, "h1"), labels, sizes), texts).where("linked"))
+    release_shuffles(spark)
     named = classes.join(labels, "h1", "left").withColumn("group", F.coalesce("label", "h1"))
     smallest = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     of_class = materialise(named.join(smallest, "group").select("h1", "h2", "component_id"), "members")

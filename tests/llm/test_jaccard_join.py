@@ -59,13 +59,20 @@ def test_components_match_brute_force(spark):
         assert run(spark, rows) == brute(rows)
 
 
-def test_large_group_goes_through_rounds(spark, monkeypatch):
-    rows = fixture(3, 150)
-    real = jj.crossing
-    seen = []
-    monkeypatch.setattr(jj, "crossing", lambda *a: seen.append(real(*a)) or seen[-1] + 20_000 * (len(seen) < 3))
-    assert run(spark, rows) == brute(rows)
-    assert len(seen) >= 2
+def test_bound_keeps_every_link():
+    r = random.Random(9)
+    for _ in range(300):
+        n, m = r.randrange(1, 60), r.randrange(1, 60)
+        if 100 * min(n, m) < 75 * max(n, m):
+            continue
+        least = -(-3 * (n + m) // 7)  # common elements of a link
+        for common in range(least, min(n, m) + 1):
+            order = list(range(n + m - common))
+            r.shuffle(order)
+            a, b = set(order[:n]), set(order[n - common :])
+            p = lambda s: set(sorted(s)[: jj.prefix_length(len(s))])
+            c = len(p(a) & p(b))
+            assert c >= 1 and c >= (n + m) * 75 / 175 - max(n, m) * 75 / 100
 
 
 def test_odd_rows(spark):

@@ -5,10 +5,11 @@ the character under the walk, and a random bit of (j, character), the same for a
 the walk moves on. Texts a few edits apart soon walk together again, so their edit distance becomes a
 Hamming distance of what is written. A fingerprint is a sample of those steps: step j of block b has a
 random height, and a text keeps the steps of at least its level, the smallest that leaves at most
-SAMPLES; each gives one hex digit, a random function of the step and the character written. Levels are
-nested, so fingerprints of texts of any two lengths compare at the higher of their levels.
+SAMPLES; each gives one hex digit, a random function of the step and the character written, or a dot
+where the walk has passed the end of its block. Levels are nested, so fingerprints of texts of any two
+lengths compare at the higher of their levels.
 
-The likeness of two fingerprints is the share of equal digits among all steps of the longer text.
+The likeness of two fingerprints is the share of equal digits among the steps at which either has one.
 Digits chosen at random make the bands by which near_pairs() finds candidates; each candidate is
 verified by likeness.
 
@@ -120,6 +121,7 @@ def walk(texts: list[np.ndarray]) -> list[np.ndarray]:
 
 
 _DIGITS = np.frombuffer(b"0123456789abcdef", np.uint8)
+_PAST = np.uint8(ord("."))
 
 
 def sample(written: np.ndarray, n_chars: int) -> str:
@@ -128,7 +130,8 @@ def sample(written: np.ndarray, n_chars: int) -> str:
         steps = kept_steps(b, level)
         steps = steps[steps < n_steps(n_chars, b)]
         value = mix((steps + b * STEPS).astype(np.uint64) * np.uint64(256) + written[b, steps])
-        parts.append(_DIGITS[(value >> np.uint64(60)).astype(np.int64)].tobytes().decode())
+        digit = np.where(written[b, steps] > 0, _DIGITS[(value >> np.uint64(60)).astype(np.int64)], _PAST)
+        parts.append(digit.tobytes().decode())
     return f"{n_chars}:{''.join(parts)}"
 
 
@@ -166,23 +169,22 @@ def digits(fingerprint: str) -> tuple[int, list[np.ndarray]]:
 
 
 def likeness(one: str, two: str) -> float:
-    """The share of equal digits among the steps of the longer text, at the higher level of the two."""
+    """The share of equal digits among the steps at which either text has one, at the higher level of the two."""
     if one == two:
         return 1.0
     (n, a), (m, b) = digits(one), digits(two)
     if n < m:
         n, a, m, b = m, b, n, a
-    level = level_for(n)
-    low = level_for(m)
+    level, low = level_for(n), level_for(m)
     equal = total = 0
     for k, x in enumerate(a):
-        total += len(x)
-        if k < len(b):
-            y = b[k]
-            if low < level:
-                steps = kept_steps(k, low)[: len(y)]
-                y = y[height(steps + k * STEPS) >= level]
-            equal += int((x[: len(y)] == y).sum())
+        y = b[k] if k < len(b) else x[:0]
+        if low < level and len(y):
+            steps = kept_steps(k, low)[: len(y)]
+            y = y[height(steps + k * STEPS) >= level]
+        y = np.append(y, np.full(len(x) - len(y), _PAST))
+        equal += int(((x == y) & (x != _PAST)).sum())
+        total += int(((x != _PAST) | (y != _PAST)).sum())
     return equal / total if total else 0.0
 
 
@@ -191,7 +193,7 @@ def bands(fingerprint: str) -> list[str]:
     n, parts = digits(fingerprint)
     own, out = level_for(n), []
     for level in (own, own + 1):
-        steps = [(b * STEPS + s, d) for b, part in enumerate(parts) for s, d in zip(kept_steps(b, own)[: len(part)].tolist(), part.tolist(), strict=True) if own == level or height(np.array([b * STEPS + s]))[0] >= level]
+        steps = [(b * STEPS + s, d) for b, part in enumerate(parts) for s, d in zip(kept_steps(b, own)[: len(part)].tolist(), part.tolist(), strict=True) if d != _PAST and (own == level or height(np.array([b * STEPS + s]))[0] >= level)]
         for band in range(BANDS):
             rank = sorted(range(len(steps)), key=lambda i: hashlib.blake2b(f"{band}/{steps[i][0]}".encode(), digest_size=8).digest())[:BAND_DIGITS]
             if len(rank) == BAND_DIGITS:
@@ -224,7 +226,8 @@ def near_pairs(prints: DataFrame, least: float = 0.75) -> DataFrame:
     keyed = classes.mapInArrow(cut, "id long, fingerprint string, band string")
     by = Window.partitionBy("band").orderBy("id")
     me = F.struct("id", "fingerprint")
-    met = keyed.select("id", "fingerprint", F.explode(F.array(F.first(me).over(by), F.lag(me).over(by))).alias("o")).where("o is not null and o.id < id")
+    near = keyed.select("id", "fingerprint", F.first(me).over(by).alias("first"), F.lag(me).over(by).alias("before"))
+    met = near.select("id", "fingerprint", F.explode(F.array("first", "before")).alias("o")).where("o is not null and o.id < id")
     pairs = met.select(F.col("o.id").alias("a"), F.col("o.fingerprint").alias("x"), F.col("id").alias("b"), F.col("fingerprint").alias("y")).distinct()
     return pairs.mapInArrow(check, "a long, b long, likeness double").where(F.col("likeness") >= least)
 

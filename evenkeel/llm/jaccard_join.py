@@ -45,7 +45,7 @@ SHINGLE = 5
 SIMILARITY = 75  # per cent
 BUCKETS = 1 << 20
 CHUNK = 1 << 14  # buckets in one row of partial counts
-MARKS = 1 << 24
+LEAST_MARKS, MOST_MARKS = 1 << 20, 1 << 30  # bits; at most 128 MB
 MAX_ROUNDS = 4
 
 SALT = np.uint64(0xD6E8FEB86659FD93)
@@ -172,16 +172,18 @@ def shared_rows(rows: DataFrame) -> DataFrame:
 
 
 def marks_of(names: DataFrame) -> np.ndarray:
-    """A bit table of MARKS bits, packed, in which the bits of all the names (h1) are set."""
+    """A packed bit table in which the bits of all the names (h1) are set: 16 bits a name, within bounds. A full table lets all pass, which costs time, not results."""
+    size = min(MOST_MARKS, max(LEAST_MARKS, 1 << (16 * max(1, names.count())).bit_length()))
 
     def set_bits(batches):
-        bits = np.zeros(MARKS, bool)
+        bits = np.zeros(size // 8, np.uint8)
         for batch in batches:
-            bits[batch.column(0).to_numpy().view(np.uint64) % np.uint64(MARKS)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()] if bits.any() else [], pa.binary())], ["bits"])
+            bit = (batch.column(0).to_numpy().view(np.uint64) % np.uint64(size)).astype(np.int64)
+            np.bitwise_or.at(bits, bit >> 3, (1 << (bit & 7)).astype(np.uint8))
+        yield pa.RecordBatch.from_arrays([pa.array([bits.tobytes()] if bits.any() else [], pa.binary())], ["bits"])
 
-    out = np.zeros(MARKS // 8, np.uint8)
-    for (data,) in names.coalesce(32).mapInArrow(set_bits, "bits binary").toLocalIterator():  # 32 tables at most, one by one
+    out = np.zeros(size // 8, np.uint8)
+    for (data,) in names.coalesce(8).mapInArrow(set_bits, "bits binary").toLocalIterator():  # 8 tables at most, one by one
         out |= np.frombuffer(bytes(data), np.uint8)
     return out
 
@@ -189,7 +191,7 @@ def marks_of(names: DataFrame) -> np.ndarray:
 def class_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
     """(h1, text): a whole text for each of the classes named (h1).
 
-    Texts are read where they lie: a bit table of fixed size tells which may be wanted, so that only those
+    Texts are read where they lie: a bit table of bounded size tells which may be wanted, so that only those
     are shuffled; of a class's copies a task gives one.
     """
     marks = docs.sparkSession.sparkContext.broadcast(marks_of(names))
@@ -202,8 +204,8 @@ def class_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
             for i, s in enumerate(sets):
                 if len(s):
                     name = digest(s)[0]
-                    bit = (name & 0xFFFFFFFFFFFFFFFF) % MARKS
-                    if bits[bit >> 3] >> (7 - (bit & 7)) & 1 and name not in given:
+                    bit = (name & 0xFFFFFFFFFFFFFFFF) % (8 * len(bits))
+                    if bits[bit >> 3] >> (bit & 7) & 1 and name not in given:
                         given.add(name)
                         at.append(i)
                         h1.append(name)

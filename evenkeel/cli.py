@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import logging
+import os
 import sys
 from collections.abc import Callable, Sequence
 from typing import Any
@@ -178,8 +179,9 @@ def main(argv: Sequence[str] | None = None) -> int:
         sides = [side_of(p, args, side) for side in ("left", "right")]
     except SystemExit as e:
         return int(e.code or 0)
-    if args.verbose:
-        logging.basicConfig(level=logging.INFO, format="%(asctime)s %(name)s %(message)s")
+    level = "INFO" if args.verbose else os.environ.get("EVENKEEL_LOG_LEVEL", "WARNING").upper()
+    logging.basicConfig(format="%(asctime)s %(name)s %(message)s")
+    logging.getLogger("evenkeel").setLevel(level if level in logging.getLevelNamesMapping() else "WARNING")
     config = ReconConfig(sample_limit=args.sample_limit, row_hash=args.row_hash)
     result = compare(*sides, keys=args.keys, compare_mode="hash" if args.hash_only else args.mode, columns=args.columns, exclude_columns=args.exclude, tolerances=dict(args.tolerance), partition=args.partition, config=config)
     for part in result.partitions:

@@ -39,6 +39,8 @@ SAMPLES = 256
 BANDS, BAND_DIGITS = 24, 6
 #: Rows that a task of the neighbour search has, about.
 ROWS_A_PART = 20_000
+#: Ranges of the neighbour search at most, as each row is held against their edges. Beyond that ranges grow, and their sorts spill.
+MOST_PARTS = 4096
 
 _rng = np.random.default_rng(20240229)
 #: Whether the walk moves on at step j over a character of class c.
@@ -236,13 +238,13 @@ def with_next(docs: DataFrame) -> DataFrame:
     """doc_id, text and next_text: the text of the next document in descending order of doc_id (after the last, the first).
 
     Documents are dealt to ranges of doc_id by quantiles; each range also gets the first row of the next
-    range that has one. No range grows with the table, and only the quantiles come to the driver.
+    range that has one. Only the quantiles come to the driver, MOST_PARTS at most.
     """
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     n = rows.count()
     if not n:
         return rows.withColumn("next_text", F.col("text"))
-    parts = max(1, -(-n // ROWS_A_PART))
+    parts = min(MOST_PARTS, -(-n // ROWS_A_PART))
     cuts = rows.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 1 / (4 * parts)) if parts > 1 else []
     edges = sorted({int(c) for c in cuts})
     # Range 0 has the largest ids; null is after the smallest.

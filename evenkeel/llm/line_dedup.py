@@ -1,49 +1,55 @@
 """Near-duplicate lines by an exact set-similarity join; the later line of each matching pair is removed.
 
-DataFrame operations only. A line's words are its runs between spaces (tabs and the like count as
-spaces), lower-cased; its tokens are its distinct shingles of five words, or all its words as one token
-if they are fewer. Lines match when |common tokens| / |all tokens| is SIMILARITY per cent or more. Lines
-stand in the order of doc_id (null last), text, line number. A line goes when an earlier line matches
-it, whether or not that line stays; so of equal lines the first can stay. A line without words is never
-removed.
+DataFrame operations only. A rule says what a line's tokens are. WORDS, which report() and deduplicate()
+use: its distinct runs of letters, digits and characters beyond ASCII, lower-cased. SHINGLES, the default
+of mark(): its distinct shingles of five runs between spaces (tabs and the like count as spaces),
+lower-cased, or all of them as one token if they are fewer; under it lines of 5 to 38 words with one
+inner word changed do not match, nor do lines under five words that differ in punctuation.
+
+Lines match when |common tokens| / |all tokens| is SIMILARITY per cent or more. Lines stand in the order
+of doc_id (null last), text, line number. A line goes when an earlier line matches it, whether or not
+that line stays; so of equal lines the first can stay. A line without tokens is never removed.
 
 1. Equal lines are one class, named by a hash and placed at the first of them. Only hashes and places
    are shuffled.
 2. Tokens are ordered by rarity: how often the BUCKETS buckets of token hashes occur, a table of fixed
    size, then hash.
 3. Lines that match share one of their n - ceil(0.75 n) + 1 rarest tokens (prefix filter). These rows,
-   once for each class, are sorted by token in one shuffle; rows whose token no other class has go.
-4. In two rounds each class meets a few earlier classes of its tokens (the first ones and its
-   neighbours), a number of pairs linear in the rows; classes that match one are settled. Those still
-   unsettled, few in any large group of copies, then meet all earlier classes of their tokens.
-   Pairs pass the length filter and the positional filter before they are made, and are verified by
-   their whole token sets.
+   of the first line of each class, are sorted by token in one shuffle; rows whose token no other class
+   has go.
+4. Each class first meets a few earlier classes of its tokens (the first ones and its neighbours), a
+   number of pairs linear in the rows; classes that match one are settled. Those still unsettled, few in
+   any large group of copies, then meet all earlier classes of their tokens.
+   Pairs pass three filters before they are made, none of which loses a match: the length filter, the
+   positional filter (in step 4's second part at the pair's first common token), and the bits in which
+   the parities of the two token sets differ, which are no more than the tokens that only one has. They
+   are verified by their whole token sets.
 
 Classes are named by 64 of the 128 bits that find equal lines; tokens are compared by 55-bit hashes
 within one rarity.
 
 Defined cases: null text stays null, empty text stays; rows that repeat doc_id and text are one
 document and get one verdict; texts of any length are cut whole; an empty table gives no rows;
-further columns pass through. A document all of whose lines with words are removed is left with its
+further columns pass through. A document all of whose lines with tokens are removed is left with its
 blank lines; deduplicate() drops it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import fresh_name, materialise, release_shuffles
+from evenkeel.llm.common import discard, fresh_name, materialise, release_shuffles
 
 SIMILARITY = 75
 SHINGLE = 5
-BUCKETS = 1 << 14
+BUCKETS = 1 << 16
 _HASH_BITS = 55
 _LINE_BITS = 24
 _LAST = 0x7FFFFFFFFFFFFFFF
-_WORD = r"[^ \t\r\f\x0B]"
 ID = ["d", "o"]  # a line's place: document, then text and line number
 
 
@@ -58,8 +64,8 @@ def words_of(line: Column) -> Column:
     return F.array_remove(F.split(plain, " "), "")
 
 
-def token_hashes(line: Column) -> Column:
-    """The distinct tokens of a line with words, as 64-bit hashes."""
+def shingle_hashes(line: Column) -> Column:
+    """The distinct five-word tokens of a line with words, as 64-bit hashes."""
 
     def shingled(h: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(SHINGLE))))
@@ -68,152 +74,179 @@ def token_hashes(line: Column) -> Column:
     return let(F.transform(words_of(line), lambda w: F.xxhash64(w)), shingled)
 
 
+def word_hashes(line: Column) -> Column:
+    """The distinct words (letters, digits, characters beyond ASCII) of a line, as 64-bit hashes."""
+    words = F.array_remove(F.split(F.lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+
+
+@dataclass(frozen=True)
+class Rule:
+    """What a line's tokens are, and the pattern of a character that gives a line any."""
+
+    hashes: Callable[[Column], Column]
+    some: str
+
+
+WORDS = Rule(word_hashes, r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]")
+SHINGLES = Rule(shingle_hashes, r"[^ \t\r\f\x0B]")
+
+
 def document_key() -> list[Column]:
     """doc_id (null as the largest), and a number for the text that stands in the upper bits of o."""
     text_bits = F.xxhash64("text").bitwiseAND(F.lit((1 << (63 - _LINE_BITS)) - 1))
     return [F.coalesce("doc_id", F.lit(_LAST)).alias("d"), text_bits.alias("t")]
 
 
-def all_lines(docs: DataFrame) -> DataFrame:
-    """d, t, at, line: every line with words."""
+def all_lines(docs: DataFrame, rule: Rule) -> DataFrame:
+    """d, t, at, line: every line with tokens."""
     rows = docs.where("text is not null").select(*document_key(), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.where(F.col("line").rlike(_WORD))
-
+    return rows.where(F.col("line").rlike(rule.some))
 
-def line_name(line: Column) -> Column:
-    return F.xxhash64(line)
 
+def line_classes(docs: DataFrame, rule: Rule) -> DataFrame:
+    """d, o: the first place of each different line."""
+    place = F.struct("d", (F.shiftleft("t", _LINE_BITS) + F.col("at")).alias("o")).alias("p")
+    rows = all_lines(docs, rule).select(F.xxhash64("line").alias("k"), F.xxhash64(F.lit(7), "line").alias("k2"), place)
+    return rows.groupBy("k", "k2").agg(F.min("p").alias("p")).select("p.d", "p.o")
 
-def line_classes(docs: DataFrame) -> DataFrame:
-    """k, d, o: each different line, by name, and its first place."""
-    rows = all_lines(docs).select(line_name(F.col("line")).alias("k"), F.xxhash64(F.lit(7), "line").alias("k2"), F.struct("d", (F.shiftleft("t", _LINE_BITS) + F.col("at")).alias("o")).alias("p"))
-    return rows.groupBy("k", "k2").agg(F.min("p").alias("p")).select("k", "p.d", "p.o")
 
-
-def rarity_levels(docs: DataFrame) -> Column:
+def rarity_levels(docs: DataFrame, rule: Rule) -> Column:
     """A literal array of BUCKETS levels, eight for each doubling of the number of tokens in the bucket.
 
     Only BUCKETS counts come to the driver, whatever the input.
     """
-    tokens = all_lines(docs).select(F.explode(token_hashes(F.col("line"))).alias("token"))
+    tokens = all_lines(docs, rule).select(F.explode(rule.hashes(F.col("line"))).alias("token"))
     counts = tokens.groupBy(F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
     found = {r["bucket"]: r["level"] for r in counts.select("bucket", F.least(F.floor(8 * F.log2("n")), F.lit(250)).alias("level")).collect()}
     return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")
 
 
-def signature(line: Column, levels: Column) -> Column:
+def signature(line: Column, levels: Column, rule: Rule) -> Column:
     """The tokens of a line as numbers that sort by rarity, rarest first."""
 
     def ranked(h: Column) -> Column:
         level = F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
         return F.shiftleft(level, _HASH_BITS) + h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
 
-    return F.sort_array(F.transform(token_hashes(line), ranked))
+    return F.sort_array(F.transform(rule.hashes(line), ranked))
 
 
-def prefix_rows(docs: DataFrame, levels: Column) -> DataFrame:
-    """token, k, n, pos: the rarest tokens of each different line."""
+def signatures(docs: DataFrame, places: DataFrame, levels: Column, rule: Rule) -> DataFrame:
+    """d, o, sig for the given places of lines."""
+    number = F.col("o").bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).cast("int")
+    wanted = places.groupBy("d", F.shiftright("o", _LINE_BITS).alias("t")).agg(F.collect_set(number).alias("at"))
+    # Rows that repeat a document have the same lines.
+    own = docs.where("text is not null").select(*document_key(), "text").groupBy("d", "t").agg(F.first("text").alias("text")).join(wanted, ["d", "t"])
+    lines = own.select("d", "t", F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
+    rows = lines.select("d", (F.shiftleft("t", _LINE_BITS) + F.col("at")).alias("o"), F.get("lines", F.col("at")).alias("line"))
+    return rows.select(*ID, signature(F.col("line"), levels, rule).alias("sig"))
 
-    def prefix(sig: Column) -> Column:
-        n = F.size(sig)
-        rarest = F.slice(sig, F.lit(1), (n - F.ceil(n * SIMILARITY / 100) + 1).cast("int"))
-        return F.transform(rarest, lambda token, i: F.struct(token.alias("token"), n.alias("n"), i.alias("pos")))
 
-    rows = all_lines(docs).select("line", line_name(F.col("line")).alias("k"))
-    return rows.select("k", F.explode(let(signature(F.col("line"), levels), prefix)).alias("x")).select("x.token", "k", "x.n", "x.pos").distinct()
+def parity(sig: Column, half: int) -> Column:
+    """64 of 128 bits: whether an odd number of tokens falls on each. Two sets differ in at least as many tokens as bits."""
 
+    def flip(bits: Column, token: Column) -> Column:
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
+        return F.when(token.bitwiseAND(F.lit(64)) == 64 * half, bits.bitwiseXOR(bit)).otherwise(bits)
 
-def shared_rows(rows: DataFrame, classes: DataFrame) -> DataFrame:
-    """token, d, o, n, pos: the rows whose token more than one class has."""
-    by = Window.partitionBy("token").orderBy("k")
-    met = rows.select("*", (F.lag("k").over(by).isNotNull() | F.lead("k").over(by).isNotNull()).alias("met")).where("met")
-    return met.join(classes, "k").select("token", *ID, "n", "pos")
+    return F.aggregate(sig, F.lit(0).cast("long"), flip)
 
 
-def live_signatures(docs: DataFrame, live: DataFrame, levels: Column) -> DataFrame:
-    """d, o, sig for the given places of lines."""
-    number = F.col("o").bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).cast("int")
-    wanted = live.groupBy("d", F.shiftright("o", _LINE_BITS).alias("t")).agg(F.collect_set(number).alias("at"))
-    # Rows that repeat a document have the same lines.
-    own = docs.where("text is not null").select(*document_key(), "text").join(wanted, ["d", "t"])
-    lines = own.select("d", "t", F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
-    rows = lines.select("d", (F.shiftleft("t", _LINE_BITS) + F.col("at")).alias("o"), F.get("lines", F.col("at")).alias("line"))
-    return rows.select(*ID, signature(F.col("line"), levels).alias("sig")).dropDuplicates(ID)
+def prefix_rows(sigs: DataFrame) -> DataFrame:
+    """token, d, o, n, pos, b0, b1: the rarest tokens of each line, with its size and parities."""
+    n = F.size("sig")
+    rarest = F.slice("sig", F.lit(1), (n - F.ceil(n * SIMILARITY / 100) + 1).cast("int"))
+    rows = sigs.select(*ID, n.alias("n"), parity(F.col("sig"), 0).alias("b0"), parity(F.col("sig"), 1).alias("b1"), rarest.alias("rarest"))
+    return rows.select(*ID, "n", "b0", "b1", F.posexplode("rarest").alias("pos", "token")).select("token", *ID, "n", "pos", "b0", "b1")
 
 
-def neighbours(rows: DataFrame) -> DataFrame:
-    """The rows whose token has another line, with earlier lines of the token: the first three, and 1, 2 and 4 before."""
+def shared_rows(rows: DataFrame) -> DataFrame:
+    """The rows whose token more than one line has."""
     by = Window.partitionBy("token").orderBy(*ID)
-    me = F.struct(*ID, "n", "pos")
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    firsts = {f"f{k}": F.nth_value(me, k).over(upto) for k in (1, 2, 3)}
-    lags = {f"g{k}": F.lag(me, k).over(by) for k in (1, 2, 4)}
-    out = rows.select("token", *ID, "n", "pos", *(c.alias(k) for k, c in {**firsts, **lags}.items()), F.lead("n").over(by).alias("after"))
-    return out.where("g1 is not null or after is not null").drop("after")
+    met = rows.select("*", (F.lag("n").over(by).isNotNull() | F.lead("n").over(by).isNotNull()).alias("met"))
+    return met.where("met").drop("met")
 
 
-def may_match(n: Column, pos: Column, n2: Column, pos2: Column) -> Column:
-    """Length filter, and positional filter: what can still be common from the shared token on is enough."""
-    common = F.ceil((n + n2) * SIMILARITY / (100 + SIMILARITY))
-    return (F.least(n, n2) * 100 >= F.greatest(n, n2) * SIMILARITY) & (1 + F.least(n - pos - 1, n2 - pos2 - 1) + F.least(pos, pos2) >= common)
+def may_match(a: Callable[[str], Column], b: Callable[[str], Column], first: bool) -> Column:
+    """Length, positional and parity filters for two rows of one token; first: only as the pair's first common token."""
+    n, m, pos, pos2 = a("n"), b("n"), a("pos"), b("pos")
+    common = F.ceil((n + m) * SIMILARITY / (100 + SIMILARITY))
+    before = F.lit(0) if first else F.least(pos, pos2)
+    apart = F.bit_count(a("b0").bitwiseXOR(b("b0"))) + F.bit_count(a("b1").bitwiseXOR(b("b1")))
+    sized = F.least(n, m) * 100 >= F.greatest(n, m) * SIMILARITY
+    return sized & (1 + F.least(n - pos - 1, m - pos2 - 1) + before >= common) & (apart <= n + m - 2 * common)
 
 
-def named_pairs(rows: DataFrame, partners: list[str]) -> DataFrame:
-    """Pairs of a line (d, o) and an earlier one (d2, o2) among the partners, each once."""
-    each = rows.select(*ID, "n", "pos", F.explode(F.array(*partners)).alias("e")).where(F.col("e").isNotNull())
-    each = each.where((F.struct(*ID) > F.struct("e.d", "e.o")) & may_match(F.col("n"), F.col("pos"), F.col("e.n"), F.col("e.pos")))
+def near_candidates(rows: DataFrame) -> DataFrame:
+    """Pairs of a line (d, o) and an earlier one (d2, o2) of one of its tokens: the first three, and 1, 2 and 4 before."""
+    by = Window.partitionBy("token").orderBy(*ID)
+    me = F.struct(*ID, "n", "pos", "b0", "b1")
+    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    others = [F.nth_value(me, k).over(upto) for k in (1, 2, 3)] + [F.lag(me, k).over(by) for k in (1, 2, 4)]
+    named = rows.select(*ID, me.alias("me"), *(c.alias(f"c{i}") for i, c in enumerate(others)))
+    fits = lambda e: e.isNotNull() & (F.struct(*ID) > F.struct(e["d"], e["o"])) & may_match(F.col("me").getField, e.getField, False)
+    each = named.select(*ID, F.explode(F.filter(F.array(*(f"c{i}" for i in range(len(others)))), fits)).alias("e"))
     return each.select(*ID, F.col("e.d").alias("d2"), F.col("e.o").alias("o2")).distinct()
 
 
-def matched(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+def all_candidates(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs of a line that is not settled and any earlier one of its tokens."""
+    late, early = rows.join(settled, ID, "left_anti").alias("x"), rows.alias("y")
+    a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    order = (b("d") < a("d")) | ((b("d") == a("d")) & (b("o") < a("o")))
+    pairs = late.join(early, (a("token") == b("token")) & order & may_match(a, b, True))
+    return pairs.select("x.d", "x.o", b("d").alias("d2"), b("o").alias("o2")).distinct()
+
+
+def matched(pairs: DataFrame, docs: DataFrame, levels: Column, rule: Rule) -> DataFrame:
     """The lines (d, o) of pairs whose token sets match."""
+    pairs = materialise(pairs, "pairs")
+    release_shuffles(docs.sparkSession)
+    places = pairs.select(*ID).unionByName(pairs.select(F.col("d2").alias("d"), F.col("o2").alias("o")))
+    sigs = materialise(signatures(docs, places, levels, rule), "signatures")
+    release_shuffles(docs.sparkSession)
     other = sigs.select(F.col("d").alias("d2"), F.col("o").alias("o2"), F.col("sig").alias("sig2"))
-    both = pairs.join(sigs, ID).join(other, ["d2", "o2"])
     common = F.size(F.array_intersect("sig", "sig2"))
-    return both.where(common * 100 >= (F.size("sig") + F.size("sig2") - common) * SIMILARITY).select(*ID).distinct()
+    both = pairs.join(sigs, ID).join(other, ["d2", "o2"])
+    out = materialise(both.where(common * 100 >= (F.size("sig") + F.size("sig2") - common) * SIMILARITY).select(*ID).distinct(), "gone")
+    discard(sigs)
+    discard(pairs)
+    return out
 
 
-def removed_lines(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def removed_lines(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """The first places (d, o) of all different lines, and of those the ones that match an earlier line."""
     spark = docs.sparkSession
-    classes = materialise(line_classes(docs), "lines")
-    levels = rarity_levels(docs)
-    shared = materialise(shared_rows(prefix_rows(docs, levels), classes), "prefixes")
+    classes = materialise(line_classes(docs, rule), "lines")
     release_shuffles(spark)
-    rows = materialise(neighbours(shared), "neighbours")
-    sigs = materialise(live_signatures(docs, shared.select(*ID).distinct(), levels), "signatures")
+    levels = rarity_levels(docs, rule)
+    rows = materialise(shared_rows(prefix_rows(signatures(docs, classes, levels, rule))), "prefixes")
     release_shuffles(spark)
-    gone = materialise(matched(named_pairs(rows, ["f1", "g1"]), sigs), "gone")
-    rest = rows.join(gone, ID, "left_anti").where("g1 is not null")
-    more = materialise(matched(named_pairs(rest, ["f2", "f3", "g2", "g4"]), sigs), "gone")
-    gone = gone.unionByName(more)
-    late = rest.join(more, ID, "left_anti").select("token", *ID, "n", "pos")
-    early = rows.select("token", F.col("d").alias("d2"), F.col("o").alias("o2"), F.col("n").alias("n2"), F.col("pos").alias("pos2"))
-    order = (F.col("d2") < F.col("d")) | ((F.col("d2") == F.col("d")) & (F.col("o2") < F.col("o")))
-    fits = order & may_match(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2"))
-    pairs = late.join(early, (late["token"] == early["token"]) & fits).select(*ID, "d2", "o2").distinct()
-    gone = gone.unionByName(materialise(matched(pairs, sigs), "gone"))
+    gone = matched(near_candidates(rows), docs, levels, rule)
+    gone = gone.unionByName(matched(all_candidates(rows, gone), docs, levels, rule))
+    discard(rows)
     release_shuffles(spark)
-    return classes.select(*ID), gone
+    return classes, gone
 
 
-def kept_numbers(docs: DataFrame) -> DataFrame:
-    """d, t, kept: for each document with any, the numbers of its lines with words that stay."""
-    lines, gone = removed_lines(docs)
+def kept_numbers(docs: DataFrame, rule: Rule) -> DataFrame:
+    """d, t, kept: for each document with any, the numbers of its lines with tokens that stay."""
+    lines, gone = removed_lines(docs, rule)
     stay = lines.select(*ID).join(gone, ID, "left_anti")
     number = F.col("o").bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).cast("int")
     return stay.groupBy("d", F.shiftright("o", _LINE_BITS).alias("t")).agg(F.collect_list(number).alias("kept"))
 
 
-def mark(docs: DataFrame, name: str = "line_dedup") -> DataFrame:
-    """docs with a struct: text (without the removed lines), n_lines, n_removed, emptied (no line with words is left of some)."""
+def mark(docs: DataFrame, name: str = "line_dedup", rule: Rule = SHINGLES) -> DataFrame:
+    """docs with a struct: text (without the removed lines), n_lines, n_removed, emptied (no line with tokens is left of some)."""
     name = fresh_name(docs.columns, name)
     columns = docs.columns
-    kept = kept_numbers(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")))
+    kept = kept_numbers(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), rule)
     d, t = document_key()
     keys = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), d, t)
     rows = keys.join(kept, ["d", "t"], "left").select("row", "kept", F.split("row.text", "\n").alias("parts"))
-    blank = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: ~F.get(F.col("parts"), i).rlike(_WORD))
+    blank = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: ~F.get(F.col("parts"), i).rlike(rule.some))
     rows = rows.select("row", "parts", "kept", F.when(F.col("parts").isNotNull(), blank).alias("blank"))
     stay = F.array_sort(F.concat(F.coalesce("kept", F.expr("cast(array() as array<int>)")), "blank"))
     rows = rows.select("row", "parts", "kept", "blank", stay.alias("stay"))
@@ -227,7 +260,7 @@ def mark(docs: DataFrame, name: str = "line_dedup") -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """docs with the texts that remain (n_chars, where there is one, counts anew); documents left without a line go."""
-    marked = mark(docs)
+    marked = mark(docs, rule=WORDS)
     verdict = F.col(f"`{marked.columns[-1]}`")
     new = {"text": verdict["text"], "n_chars": F.when(verdict["n_removed"] > 0, F.length(verdict["text"]).cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return marked.where(~verdict["emptied"]).select(*(new[c].alias(c) if new.get(c) is not None else F.col(f"`{c}`") for c in docs.columns))
@@ -235,6 +268,6 @@ def deduplicate(docs: DataFrame) -> DataFrame:
 
 def report(docs: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_removed, and the SHA-256 of the text that stays (null text: null)."""
-    marked = mark(docs.select("doc_id", "text"))
+    marked = mark(docs.select("doc_id", "text"), rule=WORDS)
     verdict = F.col(f"`{marked.columns[-1]}`")
     return marked.select("doc_id", verdict["n_lines"].alias("n_lines"), verdict["n_removed"].alias("n_removed"), F.sha2(verdict["text"], 256).alias("text_sha256"))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 
@@ -86,3 +87,37 @@ def test_empty_table(spark):
 def test_runs_no_python(spark):
     plan = ld.mark(spark.createDataFrame([(1, "a b", 3, "x")], DOCS))._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|MapInArrow", plan)
+
+
+def word_set(line):
+    return frozenset(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", line.lower()))
+
+
+def word_fixture(seed):
+    r = random.Random(seed)
+    voc = ["the", "of", "a", "in"] + [f"é{i}" for i in range(150)]
+    lines = [[r.choice(voc) for _ in range(r.choice([1, 2, 4, 8, 20]))] for _ in range(25)]
+    rows = []
+    for i in range(70):
+        text = []
+        for _ in range(r.randrange(1, 6)):
+            w = list(lines[int(len(lines) * r.random() ** 2)])
+            for _ in range(r.randrange(0, 4)):
+                w[r.randrange(len(w))] = r.choice(voc)
+            text.append(r.choice([" ", ", ", "  "]).join(w).replace("the", r.choice(["the", "The"])))
+        rows.append((i, "\n".join(text)))
+    return rows
+
+
+def test_query_and_stage_match_brute_force_on_words(spark, monkeypatch):
+    monkeypatch.setitem(globals(), "token_set", word_set)
+    odd = [(100, None), (101, "...\nSame  line, here!\nnew words now"), (102, "same line here"), (103, "one two three four five six seven eight"), (104, "one two three FOUR, five six seven nine. eight")]
+    for seed in (1, 2):
+        rows = word_fixture(seed) + odd
+        df = spark.createDataFrame([(d, t, len(t or ""), "x") for d, t in rows], DOCS).repartition(3)
+        want = dict(zip((d for d, _ in rows), brute(rows), strict=True))
+        got = {r.doc_id: r for r in ld.report(df).collect()}
+        assert {d: r.text_sha256 for d, r in got.items()} == {d: None if t is None else hashlib.sha256(t.encode()).hexdigest() for d, t in want.items()}
+        assert got[102].n_removed == got[104].n_removed == 1 and got[101].n_removed == 0
+        kept = {r.doc_id: r.text for r in ld.deduplicate(df).collect()}
+        assert kept == {d: t for d, t in want.items() if t is None or any(map(word_set, t.split("\n"))) or not any(map(word_set, dict(rows)[d].split("\n")))}

@@ -203,21 +203,31 @@ def bands(fingerprint: str) -> list[str]:
     return out
 
 
+def short_keys(fingerprint: str, least: float) -> list[str]:
+    """A key for each digit of a fingerprint that one too short for bands may be alike; two without a common key share no digit."""
+    n, parts = digits(fingerprint)
+    if not n or level_for(n):
+        return []
+    found = [(b, s, d) for b, part in enumerate(parts) for s, d in enumerate(part.tolist()) if d != _PAST]
+    return [f"short/{b}/{s}/{chr(d)}" for b, s, d in found] if len(found) * least < BAND_DIGITS else []
+
+
 def near_pairs(prints: DataFrame, least: float = 0.75) -> DataFrame:
-    """Pairs (a, b, likeness) of ids whose fingerprints share a band and are alike: prints has id and fingerprint.
+    """All pairs (a, b, likeness) of ids whose fingerprints share a band and are alike: prints has id and fingerprint.
 
-    Equal fingerprints are one class first, and in a band each class meets the band's first class and
-    the one before it, not all others; so a large band makes two candidates a member.
+    Equal fingerprints are one class first, and each class meets all others of its bands, so a band of
+    m different fingerprints makes up to m (m - 1) / 2 candidates; only ids are dealt by band. A
+    fingerprint of too few digits for a band is held against all that share a digit with it.
     """
 
     def cut(batches):
         for batch in batches:
             ids, keys = [], []
             for i, f in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for key in bands(f):
-                    ids.append((i, f))
+                for key in bands(f) + short_keys(f, least):
+                    ids.append(i)
                     keys.append(key)
-            yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in ids], pa.int64()), pa.array([f for _, f in ids], pa.string()), pa.array(keys, pa.string())], ["id", "fingerprint", "band"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(keys, pa.string())], ["id", "band"])
 
     def check(batches):
         for batch in batches:
@@ -225,12 +235,11 @@ def near_pairs(prints: DataFrame, least: float = 0.75) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array([likeness(p, q) for p, q in zip(x, y, strict=True)], pa.float64())], ["a", "b", "likeness"])
 
     classes = prints.groupBy("fingerprint").agg(F.min("id").alias("id")).select("id", "fingerprint")
-    keyed = classes.mapInArrow(cut, "id long, fingerprint string, band string")
-    by = Window.partitionBy("band").orderBy("id")
-    me = F.struct("id", "fingerprint")
-    near = keyed.select("id", "fingerprint", F.first(me).over(by).alias("first"), F.lag(me).over(by).alias("before"))
-    met = near.select("id", "fingerprint", F.explode(F.array("first", "before")).alias("o")).where("o is not null and o.id < id")
-    pairs = met.select(F.col("o.id").alias("a"), F.col("o.fingerprint").alias("x"), F.col("id").alias("b"), F.col("fingerprint").alias("y")).distinct()
+    keyed = classes.select("id", "fingerprint").mapInArrow(cut, "id long, band string").select("id", F.xxhash64("band").alias("band"))
+    one, two = keyed.select(F.col("id").alias("a"), "band"), keyed.select(F.col("id").alias("b"), "band")
+    met = one.join(two, "band").where("a < b").select("a", "b").distinct()
+    x, y = (classes.select(F.col("id").alias(i), F.col("fingerprint").alias(f)) for i, f in (("a", "x"), ("b", "y")))
+    pairs = met.join(x, "a").join(y, "b").select("a", "x", "b", "y")
     return pairs.mapInArrow(check, "a long, b long, likeness double").where(F.col("likeness") >= least)
 
 

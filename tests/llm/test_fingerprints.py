@@ -85,3 +85,27 @@ def test_near_pairs(spark):
     texts = [base, base[:900] + "Q" * 60 + base[960:], base, make(r, 2000), make(r, 1500)]
     prints = spark.createDataFrame(list(enumerate(fp.fingerprints(texts))), "id long, fingerprint string")
     assert [(x.a, x.b) for x in fp.near_pairs(prints).collect()] == [(0, 1)]
+
+
+def test_near_pairs_in_crowded_bands(spark):
+    r = random.Random(5)
+    texts = ["a", "b", "ab", "ba", "aab", "aabb", "aabbc", "", "é"]
+    for _ in range(3):
+        base = make(r, 1200)
+        for _ in range(25):
+            t = list(base)
+            for _ in range(r.randrange(1, 40)):
+                k = r.randrange(len(t))
+                t[k] = r.choice("xyz")
+            texts.append("".join(t))
+    prints = fp.fingerprints(texts)
+    first = {f: i for i, f in reversed(list(enumerate(prints)))}
+    ids = sorted(first.values())
+    want = {(a, b) for a in ids for b in ids if a < b and fp.likeness(prints[a], prints[b]) >= 0.75}
+    got = {(x.a, x.b) for x in fp.near_pairs(spark.createDataFrame(list(enumerate(prints)), "id long, fingerprint string")).collect()}
+    assert got <= want and len(want) > 200 and len(got) >= 0.9 * len(want)
+    short = {(a, b) for a, b in want if a < 9 and b < 9}
+    assert short <= got
+    few = spark.createDataFrame(list(enumerate(fp.fingerprints(["a", "b", "ab"]))), "id long, fingerprint string")
+    f = [x.fingerprint for x in few.collect()]
+    assert {(x.a, x.b) for x in fp.near_pairs(few, 0.3).collect()} == {(a, b) for a in range(3) for b in range(a + 1, 3) if fp.likeness(f[a], f[b]) >= 0.3}

@@ -89,16 +89,21 @@ def each_set(batches: Iterator[pa.RecordBatch], text_at: int) -> Iterator[tuple[
             yield part, list(shingles(scan_column(part.column(text_at), NON_SPACE)))
 
 
+def text_hashes() -> list[Column]:
+    text = F.col("text").cast("string")
+    return [F.xxhash64(text).alias("x"), F.xxhash64(F.lit(7), text).alias("y")]
+
+
 def describe_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, the size of its set, and a 128-bit digest of the set."""
+    """doc_id, the size of its set, a 128-bit digest of the set, and two hashes of the text."""
 
     def run(batches):
         for part, sets in each_set(batches, 1):
             h = [digest(s) for s in sets]
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in h], pa.int64()), pa.array([y for _, y in h], pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_shingles", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns, part.column(2), part.column(3)], ["doc_id", "n_shingles", "h1", "h2", "x", "y"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long")
+    return docs.select("doc_id", "text", *text_hashes()).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, x long, y long")
 
 
 def bucket_counts(docs: DataFrame) -> np.ndarray:
@@ -291,8 +296,8 @@ def merge(labels: DataFrame, links_found: DataFrame) -> DataFrame:
     return materialise(out.select("h1", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def classify(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (which has doc_id and text): doc_id, n_shingles, component_id."""
+def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The sets of the rows of docs (which has doc_id and text): doc_id, n_shingles, h1, h2, x, y; and the classes of sets: h1, h2, doc_id (the smallest), group (h1 of a class)."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
@@ -317,6 +322,12 @@ def classify(docs: DataFrame) -> DataFrame:
     labels = merge(labels, verify(opened(rows.join(labels, "h1"), labels, sizes), texts).where("linked"))
     release_shuffles(spark)
     named = classes.join(labels, "h1", "left").withColumn("group", F.coalesce("label", "h1"))
+    return sets, materialise(named.select("h1", "h2", "doc_id", "group"), "members")
+
+
+def classify(docs: DataFrame) -> DataFrame:
+    """One row per row of docs (which has doc_id and text): doc_id, n_shingles, component_id."""
+    sets, named = grouped(docs)
     smallest = named.groupBy("group").agg(F.min("doc_id").alias("component_id"))
     of_class = materialise(named.join(smallest, "group").select("h1", "h2", "component_id"), "members")
     out = sets.join(of_class, ["h1", "h2"], "left")
@@ -324,15 +335,26 @@ def classify(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """docs with one document of each group, that of the smallest doc_id; documents without words stay.
+    """docs with one document of each group, that of the smallest doc_id (null last); documents without words stay.
 
-    Rows that repeat a doc_id and its text are one document, and one of them stays.
+    A document is a doc_id (which may be null, or repeat with other texts) and a text, known by two hashes, and is
+    judged by its own text's group; of several with the smallest doc_id, that of the least hash stays. Rows that
+    repeat a doc_id and its text are one document, and one of them stays.
     """
-    found = materialise(classify(docs), "groups")
-    others = found.where("n_shingles > 0 and not (doc_id <=> component_id)").select(F.col("doc_id").alias("other")).distinct()
-    rest = docs.join(others, F.col("doc_id").eqNullSafe(F.col("other")), "left_anti")
-    repeated = found.where("n_shingles > 0").groupBy(F.col("doc_id").alias("again")).count().where("count > 1").select("again")
+    sets, classes = grouped(docs)
+    own = sets.where("n_shingles > 0").join(classes.select("h1", "h2", "group"), ["h1", "h2"])
+    place = F.struct(F.col("doc_id").isNull().alias("null"), F.col("doc_id").alias("d"), "x", "y")
+    own = materialise(own.groupBy("group", "doc_id", "x", "y").agg(F.count("*").alias("count")).select("group", place.alias("place"), "count"), "places")
+    first = own.groupBy("group").agg(F.min("place").alias("first"))
+    others = own.join(first, "group").where("place <> first").select("place")
+    repeated = own.where("count > 1").select("place")
+
+    def listed(places: DataFrame) -> tuple[DataFrame, Column]:
+        out = places.select(*(F.col(f"place.{c}").alias(f"__{c}") for c in ("d", "x", "y")))
+        x, y = text_hashes()
+        return out, F.col("doc_id").eqNullSafe(F.col("__d")) & (x == F.col("__x")) & (y == F.col("__y"))
+
+    rest = docs.join(*listed(others), "left_anti")
     if not repeated.limit(1).count():
         return rest
-    same = F.col("doc_id").eqNullSafe(F.col("again"))
-    return rest.join(repeated, same, "left_anti").unionByName(rest.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    return rest.join(*listed(repeated), "left_anti").unionByName(rest.join(*listed(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))

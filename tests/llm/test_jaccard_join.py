@@ -90,6 +90,16 @@ def test_keep_one(spark):
     assert sorted(repr(r.doc_id) for r in kept.collect()) == ["1", "3", "4", "5"]
 
 
+def test_keep_one_judges_each_row_by_its_text(spark):
+    near = " ".join(f"n{i}" for i in range(60))
+    rows = [(1, "a b c d e f", "x"), (None, "a b c d e f", "x"), (None, "clean and alone in its group", "x"), (None, "", "x"), (None, None, "x")]
+    rows += [(3, "a b c d e f", "x"), (3, "a text that only this row has", "x"), (None, near, "x"), (None, near + " more", "x"), (7, "p q r s t u", "x"), (7, "P q r s t u", "x"), (7, "p q r s t u", "x")]
+    kept = [(r.doc_id, r.text) for r in jj.keep_one(spark.createDataFrame(rows, DOCS).repartition(3)).collect()]
+    plain = sorted(repr(x) for x in kept if x[1] not in (near, near + " more") and x[0] != 7)
+    assert plain == sorted(repr(x) for x in [(1, "a b c d e f"), (None, "clean and alone in its group"), (None, ""), (None, None), (3, "a text that only this row has")])
+    assert len(kept) == len(plain) + 2 and sum(d == 7 for d, _ in kept) == 1
+
+
 def test_components_on_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 99)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}

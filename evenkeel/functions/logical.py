@@ -56,8 +56,12 @@ def misfits(c: Column) -> dict[str, Column]:
     }
 
 
-def infer(df: DataFrame, most_rows: int = 10_000) -> dict[str, str]:
-    """Each column's logical type. Text columns are judged by at most so many rows, all in one aggregate."""
+#: Order of the sample's rows.
+_SEED = 20240229
+
+
+def infer(df: DataFrame, most_rows: int | None = None) -> dict[str, str]:
+    """Each column's logical type. Text columns are judged by all rows in one aggregate, or by a random sample of the whole table, of so many rows."""
     found = {f.name: declared(f.dataType) for f in df.schema.fields}
     texts = [f.name for f in df.schema.fields if is_text(f.dataType)]
     if not texts:
@@ -67,7 +71,10 @@ def infer(df: DataFrame, most_rows: int = 10_000) -> dict[str, str]:
         c = named(name)
         sums.append(F.count(c).alias(f"n{i}"))
         sums += [F.count_if(F.coalesce(bad, F.lit(False))).alias(f"{kind}{i}") for kind, bad in misfits(c).items()]
-    row = df.select(*map(named, texts)).limit(max(int(most_rows), 1)).agg(*sums).first()
+    rows = df.select(*map(named, texts))
+    if most_rows is not None:
+        rows = rows.orderBy(F.rand(_SEED)).limit(max(int(most_rows), 1))
+    row = rows.agg(*sums).first()
     for i, name in enumerate(texts):
         fitting = (kind for kind in ("bool", "integer", "decimal", "date", "timestamp") if not row[f"{kind}{i}"])
         found[name] = next(fitting, "text") if row[f"n{i}"] else "null"

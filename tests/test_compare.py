@@ -201,6 +201,15 @@ def test_logical_types(spark):
     assert lt.infer(df) == {"i": "integer", "d": "decimal", "dt": "date", "ts": "timestamp", "b": "bool", "t": "text", "iso": "timestamp", "n": "null", "blanks": "integer", "odd": "text", "white": "integer"}
 
 
+def test_logical_types_look_past_the_first_rows(spark):
+    df = spark.range(40_000, numPartitions=1).selectExpr("case when id < 20000 then cast(id as string) else 'word' end as t", "case when id = 39999 then 'word' else '1' end as u")
+    assert lt.infer(df) == {"t": "text", "u": "text"}
+    assert lt.infer(df, 10_000)["t"] == "text"
+    numbers = spark.range(40_000, numPartitions=1).selectExpr("id", "cast(1 as bigint) as t")
+    r = compare(df.selectExpr("row_number() over (order by 1) - 1 as id", "t"), numbers, keys="id")
+    assert r.schema_diff.logical_type_mismatches == {"t": {"left": "text", "right": "integer"}}
+
+
 def test_stored_types_count_without_inference(spark):
     left, right = pair(spark, [("1",)], [(1,)], "id string", "id bigint")
     d = compare_schemas(left.schema, right.schema, ReconConfig())

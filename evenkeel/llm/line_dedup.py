@@ -38,6 +38,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,6 +48,7 @@ from evenkeel.llm.common import discard, fresh_name, materialise, release_shuffl
 SIMILARITY = 75
 SHINGLE = 5
 BUCKETS = 1 << 16
+TURNS = 4
 _HASH_BITS = 55
 _LINE_BITS = 24
 _LAST = 0x7FFFFFFFFFFFFFFF
@@ -196,7 +198,7 @@ def all_candidates(rows: DataFrame, settled: DataFrame) -> DataFrame:
     a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
     order = (b("d") < a("d")) | ((b("d") == a("d")) & (b("o") < a("o")))
     pairs = late.join(early, (a("token") == b("token")) & order & may_match(a, b, True))
-    return pairs.select("x.d", "x.o", b("d").alias("d2"), b("o").alias("o2")).distinct()
+    return pairs.select("x.d", "x.o", b("d").alias("d2"), b("o").alias("o2"))
 
 
 def matched(pairs: DataFrame, docs: DataFrame, levels: Column, rule: Rule) -> DataFrame:
@@ -224,7 +226,11 @@ def removed_lines(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     rows = materialise(shared_rows(prefix_rows(signatures(docs, classes, levels, rule))), "prefixes")
     release_shuffles(spark)
     gone = matched(near_candidates(rows), docs, levels, rule)
-    gone = gone.unionByName(matched(all_candidates(rows, gone), docs, levels, rule))
+    met = []
+    for turn in range(TURNS):  # the tokens by turns, so that only a share of the rows is shuffled at once
+        met.append(materialise(all_candidates(rows.where(F.pmod(F.xxhash64("token"), F.lit(TURNS)) == turn), gone), "met"))
+        release_shuffles(spark)
+    gone = gone.unionByName(matched(reduce(DataFrame.unionByName, met).distinct(), docs, levels, rule))
     discard(rows)
     release_shuffles(spark)
     return classes, gone

@@ -495,6 +495,17 @@ def partition_range(spark, sf):
     return slice_rows(orders(spark, sf), PartitionSpec("o_orderkey", "range", boundaries=RANGES))
 
 
+#: Half-open ranges over the dates of all orders, with a gap of a month, and one without rows.
+DATES = [("1900-01-01", "1997-01-01"), ("1997-01-01", "1999-06-01"), ("1999-07-01", "2100-01-01"), ("2100-01-01", "2200-01-01")]
+DATE_SQL = "CASE " + " ".join(f"WHEN o_orderdate >= TIMESTAMP '{a}' AND o_orderdate < TIMESTAMP '{b}' THEN {i}" for i, (a, b) in enumerate(DATES)) + " END"
+DATE_LABELS = "SELECT label, p FROM (VALUES " + ", ".join(f"('[{a}, {b})', {i})" for i, (a, b) in enumerate(DATES)) + ") v(label, p)"
+
+
+@query("partition_range_dates", f"WITH {with_p(SIDES_SQL, DATE_SQL)} {slice_sql(DATE_LABELS, ORDERS)}")
+def partition_range_dates(spark, sf):
+    return slice_rows(orders(spark, sf), PartitionSpec("o_orderdate", "range", boundaries=DATES))
+
+
 @query("partition_hash_totals", f"WITH {SIDES_SQL}, t AS ({counters_sql(['o_orderkey'], ORDERS)}) SELECT row_count_left, row_count_right, missing_in_left, missing_in_right, changed_rows, 8::BIGINT AS partitions FROM t")
 def partition_hash_totals(spark, sf):
     rows = slice_rows(orders(spark, sf), PartitionSpec("o_orderkey", "hash", buckets=8))

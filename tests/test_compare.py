@@ -6,7 +6,7 @@ import pytest
 from evenkeel import CompareError, ConfigError, DataFrameSource, PartitionSpec, ReconConfig, Source, compare, hash_compare
 from evenkeel.functions import logical as lt
 from evenkeel.operators.schema import compare_schemas
-from evenkeel.plans import scenarios
+from evenkeel.plans import catalogue, scenarios
 
 PEOPLE = "id int, name string, amount double"
 
@@ -235,3 +235,18 @@ def test_random_pairs_against_sql(spark):
         gone = "SELECT DISTINCT k, s FROM {0} a WHERE NOT EXISTS (SELECT 1 FROM {1} b WHERE a.k = b.k AND a.s = b.s)"
         want = (count(gone.format("r", "l")), count(gone.format("l", "r")), count("SELECT 1 FROM l JOIN r ON l.k = r.k AND l.s = r.s WHERE l.v IS DISTINCT FROM r.v"), *(count(f"SELECT k, s FROM {t} GROUP BY ALL HAVING count(*) > 1") for t in "lr"))
         assert (got.missing_in_left, got.missing_in_right, got.changed_rows, got.duplicate_keys_left, got.duplicate_keys_right) == want
+
+
+def stored_orders(spark, folder, keys):
+    cols = "o_orderkey", "o_orderkey % 7 as o_custkey", "'F' as o_orderstatus", "cast(o_orderkey as double) as o_totalprice", "timestamp '1995-01-01' + make_interval(0, 0, 0, cast(o_orderkey % 2400 as int)) as o_orderdate", "'1-URGENT' as o_orderpriority"
+    keys.selectExpr(*cols).write.parquet(f"{folder}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM read_parquet('{folder}/orders.parquet/*.parquet')")
+    return con
+
+
+def test_date_ranges_take_in_all_orders_but_the_gap(spark, tmp_path):
+    con = stored_orders(spark, tmp_path, spark.range(24_000).withColumnRenamed("id", "o_orderkey"))
+    got = [tuple(r) for r in catalogue.QUERIES["partition_range_dates"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(con.execute(catalogue.ORACLE_SQL["partition_range_dates"]).fetchall())
+    assert sum(r[1] for r in got) == 24_000 - 30 * 10 and min(r[1] for r in got) == 0 and sum(r[-1] for r in got) > 200

@@ -431,15 +431,16 @@ def common_logical_types(spark, sf):
 @query("sampled_full", f"WITH {LEFT_SQL}, R0 AS (SELECT * FROM orders), {RIGHT_SQL.replace('R AS', 'R1 AS')}, R AS (SELECT * FROM R1 WHERE o_orderkey IN (SELECT o_orderkey FROM L)) {counters_sql(['o_orderkey'], ORDERS)}")
 def sampled_full(spark, sf):
     pair = orders(spark, sf)
-    sample = sampling.sample_keys(pair.left, pair.keys, 10_000_000)
+    sample = sampling.sample_keys(pair.left, pair.keys, pair.left.select(*pair.keys).distinct().count())
     return counters(Pair(pair.left.join(sample, pair.keys, "left_semi"), pair.right.join(sample, pair.keys, "left_semi"), pair.keys, pair.values, pair.cfg))
 
 
 @query("sampled_semi_join", f"WITH {SIDES_SQL} SELECT count(*) AS n FROM R WHERE o_orderkey IN (SELECT o_orderkey FROM L WHERE o_orderkey % 50 = 0)")
 def sampled_semi_join(spark, sf):
     pair = orders(spark, sf)
-    sample = sampling.sample_keys(pair.left.where("o_orderkey % 50 = 0"), pair.keys, 100_000)
-    return one_count(sampling.only_keys(pair.right, sample, pair.keys), "n")
+    chosen = pair.left.where("o_orderkey % 50 = 0")
+    sample = sampling.sample_keys(chosen, pair.keys, chosen.select(*pair.keys).distinct().count())
+    return one_count(pair.right.join(sample, pair.keys, "left_semi"), "n")
 
 
 # ---- partitions

@@ -250,3 +250,9 @@ def test_date_ranges_take_in_all_orders_but_the_gap(spark, tmp_path):
     got = [tuple(r) for r in catalogue.QUERIES["partition_range_dates"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(con.execute(catalogue.ORACLE_SQL["partition_range_dates"]).fetchall())
     assert sum(r[1] for r in got) == 24_000 - 30 * 10 and min(r[1] for r in got) == 0 and sum(r[-1] for r in got) > 200
+
+
+def test_sampled_semi_join_takes_all_keys_of_its_sql(spark, tmp_path):
+    con = stored_orders(spark, tmp_path, spark.range(101_000).selectExpr("id * 50 as o_orderkey"))
+    got = catalogue.QUERIES["sampled_semi_join"](spark, str(tmp_path)).first().n
+    assert got == con.execute(catalogue.ORACLE_SQL["sampled_semi_join"]).fetchone()[0] > 100_000

@@ -225,12 +225,17 @@ def removed_lines(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     levels = rarity_levels(docs, rule)
     rows = materialise(shared_rows(prefix_rows(signatures(docs, classes, levels, rule))), "prefixes")
     release_shuffles(spark)
-    gone = matched(near_candidates(rows), docs, levels, rule)
-    met = []
-    for turn in range(TURNS):  # the tokens by turns, so that only a share of the rows is shuffled at once
-        met.append(materialise(all_candidates(rows.where(F.pmod(F.xxhash64("token"), F.lit(TURNS)) == turn), gone), "met"))
-        release_shuffles(spark)
-    gone = gone.unionByName(matched(reduce(DataFrame.unionByName, met).distinct(), docs, levels, rule))
+
+    def in_turns(candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
+        """The pairs of all tokens, a share of the tokens at a time, so that only a share of the rows is shuffled at once."""
+        met = []
+        for turn in range(TURNS):
+            met.append(materialise(candidates(rows.where(F.pmod(F.xxhash64("token"), F.lit(TURNS)) == turn)), "met"))
+            release_shuffles(spark)
+        return reduce(DataFrame.unionByName, met).distinct()
+
+    gone = matched(in_turns(near_candidates), docs, levels, rule)
+    gone = gone.unionByName(matched(in_turns(lambda share: all_candidates(share, gone)), docs, levels, rule))
     discard(rows)
     release_shuffles(spark)
     return classes, gone

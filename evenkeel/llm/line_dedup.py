@@ -7,52 +7,57 @@ lower-cased, or all of them as one token if they are fewer; under it lines of 5
 inner word changed do not match, nor do lines under five words that differ in punctuation.
 
 Lines match when |common tokens| / |all tokens| is SIMILARITY per cent or more. Lines stand in the order
-of doc_id (null last), text, line number. A line goes when an earlier line matches it, whether or not
-that line stays; so of equal lines the first can stay. A line without tokens is never removed.
-
-1. Equal lines are one class, named by a hash and placed at the first of them. Only hashes and places
-   are shuffled.
-2. Tokens are ordered by rarity: how often the BUCKETS buckets of token hashes occur, a table of fixed
-   size, then hash.
-3. Lines that match share one of their n - ceil(0.75 n) + 1 rarest tokens (prefix filter). These rows,
-   of the first line of each class, are sorted by token in one shuffle; rows whose token no other class
-   has go.
-4. Each class first meets a few earlier classes of its tokens (the first ones and its neighbours), a
-   number of pairs linear in the rows; classes that match one are settled. Those still unsettled, few in
-   any large group of copies, then meet all earlier classes of their tokens.
+of doc_id (null last), the two 64-bit hashes of the whole text, line number. A line goes when an earlier
+line matches it, whether or not that line stays; so of equal lines the first can stay. A line without
+tokens is never removed.
+
+1. Equal lines are one class, found by 128 bits of hash and placed at the first of them. Sorted by place
+   they are numbered, so that a class's number also is its place in the order.
+2. Each class is cut into tokens (64-bit hashes) once; the sets are a table of their own. Texts are
+   shuffled once for this and once for the result.
+3. Tokens are ordered by rarity: four levels for each doubling of how often a token's bucket occurs, of
+   BUCKETS buckets, a table of fixed size; within a level by hash. A frequent token has the high count of
+   its bucket whatever else is in it, so boilerplate sorts last.
+4. Lines that match share one of their n - ceil(0.75 n) + 1 rarest tokens (prefix filter). These rows are
+   sorted by token in one shuffle, and rows whose token no other class has go. Rows of tokens that occur
+   over HEAVY times are dealt out over SPREAD keys and stay without that test.
+5. In each round, of ROUNDS, a class meets one earlier class for each of its tokens, the first that is not
+   settled, a number of pairs linear in the rows; classes that match are settled. Those still unsettled,
+   few in any large group of copies, then meet all earlier classes of their tokens.
    Pairs pass three filters before they are made, none of which loses a match: the length filter, the
-   positional filter (in step 4's second part at the pair's first common token), and the bits in which
-   the parities of the two token sets differ, which are no more than the tokens that only one has. They
-   are verified by their whole token sets.
-
-Classes are named by 64 of the 128 bits that find equal lines; tokens are compared by 55-bit hashes
-within one rarity.
+   positional filter (after the rounds at the pair's first common token), and the bits in which the
+   parities of the two token sets differ, which are no more than the tokens that only one has. They are
+   verified by their whole token sets.
 
 Defined cases: null text stays null, empty text stays; rows that repeat doc_id and text are one
-document and get one verdict; texts of any length are cut whole; an empty table gives no rows;
-further columns pass through. A document all of whose lines with tokens are removed is left with its
-blank lines; deduplicate() drops it.
+document and get one verdict; rows that repeat doc_id (or have none) with other texts are documents of
+their own; texts of any length are cut whole; an empty table gives no rows; further columns pass through.
+A document all of whose lines with tokens are removed is left with its blank lines; deduplicate() drops it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import discard, fresh_name, materialise, release_shuffles
+from evenkeel.llm.common import discard, fresh_name, materialise
 
 SIMILARITY = 75
 SHINGLE = 5
-BUCKETS = 1 << 16
-TURNS = 4
+BUCKETS = 1 << 17
+CHUNK = 1 << 12  # buckets in one row that comes to the driver
+PER_DOUBLING, TOP_LEVEL = 4, 126
+HEAVY = 1 << 16  # occurrences
+SPREAD = 1 << 10
+ROUNDS = 1
 _HASH_BITS = 55
-_LINE_BITS = 24
-_LAST = 0x7FFFFFFFFFFFFFFF
-ID = ["d", "o"]  # a line's place: document, then text and line number
+#: A document: whether it has no doc_id, the doc_id, two hashes of its text.
+DOCUMENT = ["no_id", "d", "t1", "t2"]
+#: Every ASCII character but letters and digits, one by one, which Java tests faster than ranges. Texts are lower-cased.
+_BETWEEN = "[" + "".join(f"\\x{c:02X}" for c in range(128) if not (chr(c).isdigit() or chr(c).islower())) + "]+"
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -78,7 +83,7 @@ def shingle_hashes(line: Column) -> Column:
 
 def word_hashes(line: Column) -> Column:
     """The distinct words (letters, digits, characters beyond ASCII) of a line, as 64-bit hashes."""
-    words = F.array_remove(F.split(F.lower(line), r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
+    words = F.array_remove(F.split(F.lower(line), _BETWEEN), "")
     return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
 
 
@@ -95,54 +100,46 @@ SHINGLES = Rule(shingle_hashes, r"[^ \t\r\f\x0B]")
 
 
 def document_key() -> list[Column]:
-    """doc_id (null as the largest), and a number for the text that stands in the upper bits of o."""
-    text_bits = F.xxhash64("text").bitwiseAND(F.lit((1 << (63 - _LINE_BITS)) - 1))
-    return [F.coalesce("doc_id", F.lit(_LAST)).alias("d"), text_bits.alias("t")]
+    return [F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("d"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2")]
 
 
-def all_lines(docs: DataFrame, rule: Rule) -> DataFrame:
-    """d, t, at, line: every line with tokens."""
+def numbered_lines(docs: DataFrame, rule: Rule) -> DataFrame:
+    """no_id, d, t1, t2, at, o: the first place of each different line with tokens, and its number in the order of places."""
     rows = docs.where("text is not null").select(*document_key(), F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.where(F.col("line").rlike(rule.some))
-
-
-def line_classes(docs: DataFrame, rule: Rule) -> DataFrame:
-    """d, o: the first place of each different line."""
-    place = F.struct("d", (F.shiftleft("t", _LINE_BITS) + F.col("at")).alias("o")).alias("p")
-    rows = all_lines(docs, rule).select(F.xxhash64("line").alias("k"), F.xxhash64(F.lit(7), "line").alias("k2"), place)
-    return rows.groupBy("k", "k2").agg(F.min("p").alias("p")).select("p.d", "p.o")
-
-
-def rarity_levels(docs: DataFrame, rule: Rule) -> Column:
-    """A literal array of BUCKETS levels, eight for each doubling of the number of tokens in the bucket.
-
-    Only BUCKETS counts come to the driver, whatever the input.
-    """
-    tokens = all_lines(docs, rule).select(F.explode(rule.hashes(F.col("line"))).alias("token"))
-    counts = tokens.groupBy(F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).alias("bucket")).agg(F.count("*").alias("n"))
-    found = {r["bucket"]: r["level"] for r in counts.select("bucket", F.least(F.floor(8 * F.log2("n")), F.lit(250)).alias("level")).collect()}
-    return F.split(F.lit(",".join(str(found.get(b, 0)) for b in range(BUCKETS))), ",").cast("array<int>")
+    rows = rows.where(F.col("line").rlike(rule.some)).select(F.xxhash64("line").alias("k"), F.xxhash64(F.lit(7), "line").alias("k2"), F.struct(*DOCUMENT, "at").alias("p"))
+    first = materialise(rows.groupBy("k", "k2").agg(F.min("p").alias("p")).select("p.*"), "lines")
+    placed = first.repartitionByRange(*DOCUMENT).sortWithinPartitions(*DOCUMENT, "at")
+    out = materialise(placed.select(*DOCUMENT, "at", F.monotonically_increasing_id().alias("o")), "numbered")
+    discard(first)
+    return out
 
 
-def signature(line: Column, levels: Column, rule: Rule) -> Column:
-    """The tokens of a line as numbers that sort by rarity, rarest first."""
+def token_sets(docs: DataFrame, lines: DataFrame, rule: Rule) -> DataFrame:
+    """o, tokens, b0, b1: the token set of each numbered line, and its parities."""
+    wanted = lines.groupBy(*DOCUMENT).agg(F.collect_list(F.struct("at", "o")).alias("wanted"))
+    # Rows that repeat a document have the same lines.
+    own = docs.where("text is not null").select(*document_key(), "text").groupBy(*DOCUMENT).agg(F.first("text").alias("text"))
+    each = let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda e: F.struct(e["o"].alias("o"), F.get(lines, e["at"]).alias("line"))))
+    rows = own.join(wanted, DOCUMENT).select(F.explode(each).alias("e")).select("e.o", rule.hashes(F.col("e.line")).alias("tokens"))
+    return materialise(rows.select("o", "tokens", parity(F.col("tokens"), 0).alias("b0"), parity(F.col("tokens"), 1).alias("b1")), "sets", "zstd")
 
-    def ranked(h: Column) -> Column:
-        level = F.get(levels, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-        return F.shiftleft(level, _HASH_BITS) + h.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
 
-    return F.sort_array(F.transform(rule.hashes(line), ranked))
+def rarity_levels(sets: DataFrame) -> Column:
+    """A literal array of BUCKETS levels, one for each bucket of token hashes. Only these come to the driver, whatever the input."""
+    bucket = F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+    counts = sets.select(F.explode("tokens").alias("token")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
+    level = F.least(F.floor(PER_DOUBLING * F.log2("n")), F.lit(TOP_LEVEL)).cast("int")
+    levels = [0] * BUCKETS
+    for _, found in counts.groupBy(F.floor(F.col("bucket") / CHUNK)).agg(F.collect_list(F.struct("bucket", level.alias("level")))).toLocalIterator():
+        for at, x in found:
+            levels[at] = x
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
 
 
-def signatures(docs: DataFrame, places: DataFrame, levels: Column, rule: Rule) -> DataFrame:
-    """d, o, sig for the given places of lines."""
-    number = F.col("o").bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).cast("int")
-    wanted = places.groupBy("d", F.shiftright("o", _LINE_BITS).alias("t")).agg(F.collect_set(number).alias("at"))
-    # Rows that repeat a document have the same lines.
-    own = docs.where("text is not null").select(*document_key(), "text").groupBy("d", "t").agg(F.first("text").alias("text")).join(wanted, ["d", "t"])
-    lines = own.select("d", "t", F.split("text", "\n").alias("lines"), F.explode("at").alias("at"))
-    rows = lines.select("d", (F.shiftleft("t", _LINE_BITS) + F.col("at")).alias("o"), F.get("lines", F.col("at")).alias("line"))
-    return rows.select(*ID, signature(F.col("line"), levels, rule).alias("sig"))
+def ranked(token: Column, levels: Column) -> Column:
+    """A token's hash as a number that sorts by rarity, rarest first."""
+    level = F.get(levels, token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
+    return F.shiftleft(level, _HASH_BITS) + token.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
 
 
 def parity(sig: Column, half: int) -> Column:
@@ -155,19 +152,19 @@ def parity(sig: Column, half: int) -> Column:
     return F.aggregate(sig, F.lit(0).cast("long"), flip)
 
 
-def prefix_rows(sigs: DataFrame) -> DataFrame:
-    """token, d, o, n, pos, b0, b1: the rarest tokens of each line, with its size and parities."""
+def shared_rows(sets: DataFrame, levels: Column) -> DataFrame:
+    """token, o, n, pos, b0, b1: the rarest tokens of each set, where another set has them too, with its size and parities."""
+    sig = sets.select("o", F.sort_array(F.transform("tokens", lambda t: ranked(t, levels))).alias("sig"))
     n = F.size("sig")
     rarest = F.slice("sig", F.lit(1), (n - F.ceil(n * SIMILARITY / 100) + 1).cast("int"))
-    rows = sigs.select(*ID, n.alias("n"), parity(F.col("sig"), 0).alias("b0"), parity(F.col("sig"), 1).alias("b1"), rarest.alias("rarest"))
-    return rows.select(*ID, "n", "b0", "b1", F.posexplode("rarest").alias("pos", "token")).select("token", *ID, "n", "pos", "b0", "b1")
-
-
-def shared_rows(rows: DataFrame) -> DataFrame:
-    """The rows whose token more than one line has."""
-    by = Window.partitionBy("token").orderBy(*ID)
-    met = rows.select("*", (F.lag("n").over(by).isNotNull() | F.lead("n").over(by).isNotNull()).alias("met"))
-    return met.where("met").drop("met")
+    rows = sig.select("o", n.alias("n"), F.posexplode(rarest).alias("pos", "token"))
+    heavy = F.shiftright("token", _HASH_BITS) >= int(PER_DOUBLING * (HEAVY.bit_length() - 1))
+    by = Window.partitionBy("token", F.when(heavy, F.pmod(F.xxhash64("o"), F.lit(SPREAD)))).orderBy("o")
+    met = rows.select("token", "o", "n", "pos", (heavy | F.lag("o").over(by).isNotNull() | F.lead("o").over(by).isNotNull()).alias("met"))
+    found = materialise(met.where("met").drop("met"), "shared")
+    out = materialise(found.join(sets.select("o", "b0", "b1"), "o").select("token", "o", "n", "pos", "b0", "b1"), "prefixes")
+    discard(found)
+    return out
 
 
 def may_match(a: Callable[[str], Column], b: Callable[[str], Column], first: bool) -> Column:
@@ -180,73 +177,52 @@ def may_match(a: Callable[[str], Column], b: Callable[[str], Column], first: boo
     return sized & (1 + F.least(n - pos - 1, m - pos2 - 1) + before >= common) & (apart <= n + m - 2 * common)
 
 
-def near_candidates(rows: DataFrame) -> DataFrame:
-    """Pairs of a line (d, o) and an earlier one (d2, o2) of one of its tokens: the first three, and 1, 2 and 4 before."""
-    by = Window.partitionBy("token").orderBy(*ID)
-    me = F.struct(*ID, "n", "pos", "b0", "b1")
-    upto = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    others = [F.nth_value(me, k).over(upto) for k in (1, 2, 3)] + [F.lag(me, k).over(by) for k in (1, 2, 4)]
-    named = rows.select(*ID, me.alias("me"), *(c.alias(f"c{i}") for i, c in enumerate(others)))
-    fits = lambda e: e.isNotNull() & (F.struct(*ID) > F.struct(e["d"], e["o"])) & may_match(F.col("me").getField, e.getField, False)
-    each = named.select(*ID, F.explode(F.filter(F.array(*(f"c{i}" for i in range(len(others)))), fits)).alias("e"))
-    return each.select(*ID, F.col("e.d").alias("d2"), F.col("e.o").alias("o2")).distinct()
+def candidates(late: DataFrame, early: DataFrame, first: bool) -> DataFrame:
+    """Pairs of a class (o) of late and an earlier one (o2) of early that has one of its tokens."""
+    a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    pairs = late.alias("x").join(early.alias("y"), (a("token") == b("token")) & (b("o") < a("o")) & may_match(a, b, first))
+    return pairs.select("x.o", b("o").alias("o2")).distinct()
 
 
-def all_candidates(rows: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs of a line that is not settled and any earlier one of its tokens."""
-    late, early = rows.join(settled, ID, "left_anti").alias("x"), rows.alias("y")
-    a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    order = (b("d") < a("d")) | ((b("d") == a("d")) & (b("o") < a("o")))
-    pairs = late.join(early, (a("token") == b("token")) & order & may_match(a, b, True))
-    return pairs.select("x.d", "x.o", b("d").alias("d2"), b("o").alias("o2"))
+def first_of_token(rows: DataFrame) -> DataFrame:
+    """Of each token the row of its first class."""
+    return rows.groupBy("token").agg(F.min(F.struct("o", "n", "pos", "b0", "b1")).alias("v")).select("token", "v.*")
 
 
-def matched(pairs: DataFrame, docs: DataFrame, levels: Column, rule: Rule) -> DataFrame:
-    """The lines (d, o) of pairs whose token sets match."""
+def matched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The classes (o) of pairs whose token sets match."""
     pairs = materialise(pairs, "pairs")
-    release_shuffles(docs.sparkSession)
-    places = pairs.select(*ID).unionByName(pairs.select(F.col("d2").alias("d"), F.col("o2").alias("o")))
-    sigs = materialise(signatures(docs, places, levels, rule), "signatures")
-    release_shuffles(docs.sparkSession)
-    other = sigs.select(F.col("d").alias("d2"), F.col("o").alias("o2"), F.col("sig").alias("sig2"))
-    common = F.size(F.array_intersect("sig", "sig2"))
-    both = pairs.join(sigs, ID).join(other, ["d2", "o2"])
-    out = materialise(both.where(common * 100 >= (F.size("sig") + F.size("sig2") - common) * SIMILARITY).select(*ID).distinct(), "gone")
-    discard(sigs)
+    names = pairs.select("o").union(pairs.select("o2")).distinct()
+    own = materialise(sets.select("o", "tokens").join(names, "o", "left_semi"), "candidates", "zstd")
+    other = own.select(F.col("o").alias("o2"), F.col("tokens").alias("tokens2"))
+    common = F.size(F.array_intersect("tokens", "tokens2"))
+    both = pairs.join(own, "o").join(other, "o2")
+    out = materialise(both.where(common * 100 >= (F.size("tokens") + F.size("tokens2") - common) * SIMILARITY).select("o").distinct(), "gone")
+    discard(own)
     discard(pairs)
     return out
 
 
 def removed_lines(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
-    """The first places (d, o) of all different lines, and of those the ones that match an earlier line."""
-    spark = docs.sparkSession
-    classes = materialise(line_classes(docs, rule), "lines")
-    release_shuffles(spark)
-    levels = rarity_levels(docs, rule)
-    rows = materialise(shared_rows(prefix_rows(signatures(docs, classes, levels, rule))), "prefixes")
-    release_shuffles(spark)
-
-    def in_turns(candidates: Callable[[DataFrame], DataFrame]) -> DataFrame:
-        """The pairs of all tokens, a share of the tokens at a time, so that only a share of the rows is shuffled at once."""
-        met = []
-        for turn in range(TURNS):
-            met.append(materialise(candidates(rows.where(F.pmod(F.xxhash64("token"), F.lit(TURNS)) == turn)), "met"))
-            release_shuffles(spark)
-        return reduce(DataFrame.unionByName, met).distinct()
-
-    gone = matched(in_turns(near_candidates), docs, levels, rule)
-    gone = gone.unionByName(matched(in_turns(lambda share: all_candidates(share, gone)), docs, levels, rule))
+    """The first places of all different lines (no_id, d, t1, t2, at, o), and of those the ones (o) that match an earlier line."""
+    lines = numbered_lines(docs, rule)
+    sets = token_sets(docs, lines, rule)
+    rows = shared_rows(sets, rarity_levels(sets))
+    gone = lines.select("o").limit(0)
+    unsettled = rows
+    for _ in range(ROUNDS):
+        gone = gone.union(matched(candidates(unsettled, first_of_token(unsettled), False), sets))
+        unsettled = rows.join(gone, "o", "left_anti")
+    gone = gone.union(matched(candidates(unsettled, rows, True), sets))
     discard(rows)
-    release_shuffles(spark)
-    return classes, gone
+    discard(sets)
+    return lines, gone
 
 
 def kept_numbers(docs: DataFrame, rule: Rule) -> DataFrame:
-    """d, t, kept: for each document with any, the numbers of its lines with tokens that stay."""
+    """no_id, d, t1, t2, kept: for each document with any, the numbers of its lines with tokens that stay."""
     lines, gone = removed_lines(docs, rule)
-    stay = lines.select(*ID).join(gone, ID, "left_anti")
-    number = F.col("o").bitwiseAND(F.lit((1 << _LINE_BITS) - 1)).cast("int")
-    return stay.groupBy("d", F.shiftright("o", _LINE_BITS).alias("t")).agg(F.collect_list(number).alias("kept"))
+    return lines.join(gone, "o", "left_anti").groupBy(*DOCUMENT).agg(F.collect_list("at").alias("kept"))
 
 
 def mark(docs: DataFrame, name: str = "line_dedup", rule: Rule = SHINGLES) -> DataFrame:
@@ -254,9 +230,8 @@ def mark(docs: DataFrame, name: str = "line_dedup", rule: Rule = SHINGLES) -> Da
     name = fresh_name(docs.columns, name)
     columns = docs.columns
     kept = kept_numbers(docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text")), rule)
-    d, t = document_key()
-    keys = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), d, t)
-    rows = keys.join(kept, ["d", "t"], "left").select("row", "kept", F.split("row.text", "\n").alias("parts"))
+    keys = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row"), *document_key())
+    rows = keys.join(kept, DOCUMENT, "left").select("row", "kept", F.split("row.text", "\n").alias("parts"))
     blank = F.filter(F.sequence(F.lit(0), F.size("parts") - 1), lambda i: ~F.get(F.col("parts"), i).rlike(rule.some))
     rows = rows.select("row", "parts", "kept", F.when(F.col("parts").isNotNull(), blank).alias("blank"))
     stay = F.array_sort(F.concat(F.coalesce("kept", F.expr("cast(array() as array<int>)")), "blank"))

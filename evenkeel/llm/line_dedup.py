@@ -13,21 +13,21 @@ tokens is never removed.
 
 1. Equal lines are one class, found by 128 bits of hash and placed at the first of them. Sorted by place
    they are numbered, so that a class's number also is its place in the order.
-2. Each class is cut into tokens (64-bit hashes) once; the sets are a table of their own. Texts are
+2. Each class is cut into tokens (56-bit hashes) once; the sets are a table of their own. Texts are
    shuffled once for this and once for the result.
 3. Tokens are ordered by rarity: four levels for each doubling of how often a token's bucket occurs, of
    BUCKETS buckets, a table of fixed size; within a level by hash. A frequent token has the high count of
    its bucket whatever else is in it, so boilerplate sorts last.
-4. Lines that match share one of their n - ceil(0.75 n) + 1 rarest tokens (prefix filter). These rows are
-   sorted by token in one shuffle, and rows whose token no other class has go. Rows of tokens that occur
-   over HEAVY times are dealt out over SPREAD keys and stay without that test.
-5. In each round, of ROUNDS, a class meets one earlier class for each of its tokens, the first that is not
-   settled, a number of pairs linear in the rows; classes that match are settled. Those still unsettled,
-   few in any large group of copies, then meet all earlier classes of their tokens.
-   Pairs pass three filters before they are made, none of which loses a match: the length filter, the
-   positional filter (after the rounds at the pair's first common token), and the bits in which the
-   parities of the two token sets differ, which are no more than the tokens that only one has. They are
-   verified by their whole token sets.
+4. Of two lines that match, the one of more tokens (n) has one of its n - ceil(0.75 n) + 1 rarest tokens in
+   common with the m - ceil(6/7 m) + 1 rarest of the other (prefix filter). These prefixes are a table too.
+5. Each class first meets, for each of its SETTLING rarest tokens, the first class of each size that has
+   it, a number of pairs linear in the classes; those that match are settled, which in a large group of
+   copies leaves few.
+6. Then prefixes are joined by token, a share of the tokens at a time, for pairs whose later class is not
+   settled. Pairs pass three filters before they are made, none of which loses a match: the length filter,
+   the positional filter at the pair's first common token, and the bits in which the parities of the two
+   token sets differ, which are no more than the tokens that only one has. They are verified by their
+   whole token sets.
 
 Defined cases: null text stays null, empty text stays; rows that repeat doc_id and text are one
 document and get one verdict; rows that repeat doc_id (or have none) with other texts are documents of
@@ -39,8 +39,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import discard, fresh_name, materialise
@@ -50,10 +51,11 @@ SHINGLE = 5
 BUCKETS = 1 << 17
 CHUNK = 1 << 12  # buckets in one row that comes to the driver
 PER_DOUBLING, TOP_LEVEL = 4, 126
-HEAVY = 1 << 16  # occurrences
-SPREAD = 1 << 10
-ROUNDS = 1
-_HASH_BITS = 55
+SETTLING = 6
+TURNS = 4
+SMALL_ROWS = 1 << 20  # settled classes that are broadcast (8 bytes each); more are joined by a shuffle
+_HASH_BITS = 56
+_FOLD = 64  # tokens up to which one word of parities tells sets apart
 #: A document: whether it has no doc_id, the doc_id, two hashes of its text.
 DOCUMENT = ["no_id", "d", "t1", "t2"]
 #: Every ASCII character but letters and digits, one by one, which Java tests faster than ranges. Texts are lower-cased.
@@ -72,19 +74,19 @@ def words_of(line: Column) -> Column:
 
 
 def shingle_hashes(line: Column) -> Column:
-    """The distinct five-word tokens of a line with words, as 64-bit hashes."""
+    """The distinct five-word tokens of a line with words, as hashes."""
 
     def shingled(h: Column) -> Column:
         each = F.transform(F.sequence(F.lit(0), F.size(h) - SHINGLE), lambda i: F.xxhash64(*(F.get(h, i + k) for k in range(SHINGLE))))
         return F.when(F.size(h) >= SHINGLE, F.array_distinct(each)).otherwise(F.array(F.xxhash64(h)))
 
-    return let(F.transform(words_of(line), lambda w: F.xxhash64(w)), shingled)
+    return F.transform(let(F.transform(words_of(line), lambda w: F.xxhash64(w)), shingled), lambda t: F.shiftrightunsigned(t, 64 - _HASH_BITS))
 
 
 def word_hashes(line: Column) -> Column:
-    """The distinct words (letters, digits, characters beyond ASCII) of a line, as 64-bit hashes."""
+    """The distinct words (letters, digits, characters beyond ASCII) of a line, as hashes."""
     words = F.array_remove(F.split(F.lower(line), _BETWEEN), "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    return F.array_distinct(F.transform(words, lambda w: F.shiftrightunsigned(F.xxhash64(w), 64 - _HASH_BITS)))
 
 
 @dataclass(frozen=True)
@@ -121,50 +123,44 @@ def token_sets(docs: DataFrame, lines: DataFrame, rule: Rule) -> DataFrame:
     own = docs.where("text is not null").select(*document_key(), "text").groupBy(*DOCUMENT).agg(F.first("text").alias("text"))
     each = let(F.split("text", "\n"), lambda lines: F.transform("wanted", lambda e: F.struct(e["o"].alias("o"), F.get(lines, e["at"]).alias("line"))))
     rows = own.join(wanted, DOCUMENT).select(F.explode(each).alias("e")).select("e.o", rule.hashes(F.col("e.line")).alias("tokens"))
-    return materialise(rows.select("o", "tokens", parity(F.col("tokens"), 0).alias("b0"), parity(F.col("tokens"), 1).alias("b1")), "sets", "zstd")
+    return materialise(rows.select("o", "tokens", *parities(F.col("tokens"))), "sets", "zstd")
 
 
 def rarity_levels(sets: DataFrame) -> Column:
-    """A literal array of BUCKETS levels, one for each bucket of token hashes. Only these come to the driver, whatever the input."""
+    """A literal array of BUCKETS levels (shifted over a hash), one for each bucket of token hashes. Only these come to the driver, whatever the input."""
     bucket = F.col("token").bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
     counts = sets.select(F.explode("tokens").alias("token")).groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
     level = F.least(F.floor(PER_DOUBLING * F.log2("n")), F.lit(TOP_LEVEL)).cast("int")
     levels = [0] * BUCKETS
     for _, found in counts.groupBy(F.floor(F.col("bucket") / CHUNK)).agg(F.collect_list(F.struct("bucket", level.alias("level")))).toLocalIterator():
         for at, x in found:
-            levels[at] = x
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<int>")
+            levels[at] = x << _HASH_BITS
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
 
 
-def ranked(token: Column, levels: Column) -> Column:
-    """A token's hash as a number that sorts by rarity, rarest first."""
-    level = F.get(levels, token.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).cast("long")
-    return F.shiftleft(level, _HASH_BITS) + token.bitwiseAND(F.lit((1 << _HASH_BITS) - 1))
+def parities(tokens: Column) -> list[Column]:
+    """b0, b1: whether an odd number of tokens falls on each of 128 bits; of at most _FOLD tokens on each of 64, b1 being 0.
 
+    Two sets differ in at least as many tokens as bits. b0 XOR b1 is the word of 64 for any set.
+    """
 
-def parity(sig: Column, half: int) -> Column:
-    """64 of 128 bits: whether an odd number of tokens falls on each. Two sets differ in at least as many tokens as bits."""
+    def word(half: int | None) -> Column:
+        def flip(bits: Column, token: Column) -> Column:
+            bit = F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
+            return bits.bitwiseXOR(bit) if half is None else F.when(token.bitwiseAND(F.lit(64)) == 64 * half, bits.bitwiseXOR(bit)).otherwise(bits)
 
-    def flip(bits: Column, token: Column) -> Column:
-        bit = F.call_function("shiftleft", F.lit(1).cast("long"), token.bitwiseAND(F.lit(63)).cast("int"))
-        return F.when(token.bitwiseAND(F.lit(64)) == 64 * half, bits.bitwiseXOR(bit)).otherwise(bits)
+        return F.aggregate(tokens, F.lit(0).cast("long"), flip)
 
-    return F.aggregate(sig, F.lit(0).cast("long"), flip)
+    few = F.size(tokens) <= _FOLD
+    return [F.when(few, word(None)).otherwise(word(0)).alias("b0"), F.when(few, F.lit(0).cast("long")).otherwise(word(1)).alias("b1")]
 
 
-def shared_rows(sets: DataFrame, levels: Column) -> DataFrame:
-    """token, o, n, pos, b0, b1: the rarest tokens of each set, where another set has them too, with its size and parities."""
-    sig = sets.select("o", F.sort_array(F.transform("tokens", lambda t: ranked(t, levels))).alias("sig"))
-    n = F.size("sig")
-    rarest = F.slice("sig", F.lit(1), (n - F.ceil(n * SIMILARITY / 100) + 1).cast("int"))
-    rows = sig.select("o", n.alias("n"), F.posexplode(rarest).alias("pos", "token"))
-    heavy = F.shiftright("token", _HASH_BITS) >= int(PER_DOUBLING * (HEAVY.bit_length() - 1))
-    by = Window.partitionBy("token", F.when(heavy, F.pmod(F.xxhash64("o"), F.lit(SPREAD)))).orderBy("o")
-    met = rows.select("token", "o", "n", "pos", (heavy | F.lag("o").over(by).isNotNull() | F.lead("o").over(by).isNotNull()).alias("met"))
-    found = materialise(met.where("met").drop("met"), "shared")
-    out = materialise(found.join(sets.select("o", "b0", "b1"), "o").select("token", "o", "n", "pos", "b0", "b1"), "prefixes")
-    discard(found)
-    return out
+def prefix_rows(sets: DataFrame, levels: Column) -> DataFrame:
+    """token, o, n, pos, b0, b1: the rarest tokens of each set, with its size and parities."""
+    rank = lambda t: F.get(levels, t.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")) + t
+    sig = sets.select("o", "b0", "b1", F.size("tokens").alias("n"), F.sort_array(F.transform("tokens", rank)).alias("sig"))
+    rarest = F.slice("sig", F.lit(1), F.col("n") - F.ceil(F.col("n") * SIMILARITY / 100).cast("int") + 1)
+    return materialise(sig.select("o", "n", "b0", "b1", F.posexplode(rarest).alias("pos", "token")), "prefixes")
 
 
 def may_match(a: Callable[[str], Column], b: Callable[[str], Column], first: bool) -> Column:
@@ -172,26 +168,45 @@ def may_match(a: Callable[[str], Column], b: Callable[[str], Column], first: boo
     n, m, pos, pos2 = a("n"), b("n"), a("pos"), b("pos")
     common = F.ceil((n + m) * SIMILARITY / (100 + SIMILARITY))
     before = F.lit(0) if first else F.least(pos, pos2)
-    apart = F.bit_count(a("b0").bitwiseXOR(b("b0"))) + F.bit_count(a("b1").bitwiseXOR(b("b1")))
+    d0, d1 = a("b0").bitwiseXOR(b("b0")), a("b1").bitwiseXOR(b("b1"))
+    apart = F.when(F.least(n, m) > _FOLD, F.bit_count(d0) + F.bit_count(d1)).otherwise(F.bit_count(d0.bitwiseXOR(d1)))
     sized = F.least(n, m) * 100 >= F.greatest(n, m) * SIMILARITY
     return sized & (1 + F.least(n - pos - 1, m - pos2 - 1) + before >= common) & (apart <= n + m - 2 * common)
 
 
-def candidates(late: DataFrame, early: DataFrame, first: bool) -> DataFrame:
-    """Pairs of a class (o) of late and an earlier one (o2) of early that has one of its tokens."""
-    a, b = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
-    pairs = late.alias("x").join(early.alias("y"), (a("token") == b("token")) & (b("o") < a("o")) & may_match(a, b, first))
-    return pairs.select("x.o", b("o").alias("o2")).distinct()
+def sides() -> tuple[Callable[[str], Column], Callable[[str], Column]]:
+    return (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+
+
+def first_candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (o, o2) of a class and the first class, of each size, that has one of its rarest tokens."""
+    few = rows.where(F.col("pos") < SETTLING)
+    first = few.groupBy("token", "n").agg(F.min(F.struct("o", "pos", "b0", "b1")).alias("v")).select("token", "n", "v.*")
+    a, b = sides()
+    pairs = few.alias("x").join(first.alias("y"), (a("token") == b("token")) & (b("o") < a("o")) & may_match(a, b, False))
+    return materialise(pairs.select("x.o", b("o").alias("o2")).distinct(), "pairs")
 
 
-def first_of_token(rows: DataFrame) -> DataFrame:
-    """Of each token the row of its first class."""
-    return rows.groupBy("token").agg(F.min(F.struct("o", "n", "pos", "b0", "b1")).alias("v")).select("token", "v.*")
+def all_candidates(rows: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs (o, o2 before it) of classes of which the later one is not settled."""
+    settled = settled.select(F.col("o").alias("o_"))
+    if settled.count() <= SMALL_ROWS:
+        settled = F.broadcast(settled)
+    a, b = sides()
+    sized = (a("n") > b("n")) | ((a("n") == b("n")) & (a("o") > b("o")))
+    open_ = F.when(a("o") > b("o"), ~a("settled")).otherwise(~b("settled"))
+    found = []
+    for turn in range(TURNS):
+        share = rows.where(F.col("token").bitwiseAND(F.lit(TURNS - 1)) == turn)
+        told = share.join(settled, F.col("o") == F.col("o_"), "left").select("token", "o", "n", "pos", "b0", "b1", F.col("o_").isNotNull().alias("settled"))
+        index = told.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY) / (100 + SIMILARITY)))
+        pairs = told.alias("x").join(index.alias("y"), (a("token") == b("token")) & sized & open_ & may_match(a, b, True))
+        found.append(materialise(pairs.select(F.greatest("x.o", "y.o").alias("o"), F.least("x.o", "y.o").alias("o2")), "pairs"))
+    return reduce(DataFrame.union, found)
 
 
 def matched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The classes (o) of pairs whose token sets match."""
-    pairs = materialise(pairs, "pairs")
     names = pairs.select("o").union(pairs.select("o2")).distinct()
     own = materialise(sets.select("o", "tokens").join(names, "o", "left_semi"), "candidates", "zstd")
     other = own.select(F.col("o").alias("o2"), F.col("tokens").alias("tokens2"))
@@ -207,13 +222,9 @@ def removed_lines(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     """The first places of all different lines (no_id, d, t1, t2, at, o), and of those the ones (o) that match an earlier line."""
     lines = numbered_lines(docs, rule)
     sets = token_sets(docs, lines, rule)
-    rows = shared_rows(sets, rarity_levels(sets))
-    gone = lines.select("o").limit(0)
-    unsettled = rows
-    for _ in range(ROUNDS):
-        gone = gone.union(matched(candidates(unsettled, first_of_token(unsettled), False), sets))
-        unsettled = rows.join(gone, "o", "left_anti")
-    gone = gone.union(matched(candidates(unsettled, rows, True), sets))
+    rows = prefix_rows(sets, rarity_levels(sets))
+    gone = matched(first_candidates(rows), sets)
+    gone = gone.union(matched(all_candidates(rows, gone), sets))
     discard(rows)
     discard(sets)
     return lines, gone

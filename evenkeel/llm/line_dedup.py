@@ -51,7 +51,7 @@ SHINGLE = 5
 BUCKETS = 1 << 17
 CHUNK = 1 << 12  # buckets in one row that comes to the driver
 PER_DOUBLING, TOP_LEVEL = 4, 126
-SETTLING = 6
+SETTLING = 8
 TURNS = 4
 SMALL_ROWS = 1 << 20  # settled classes that are broadcast (8 bytes each); more are joined by a shuffle
 _HASH_BITS = 56
@@ -178,35 +178,35 @@ def sides() -> tuple[Callable[[str], Column], Callable[[str], Column]]:
     return (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
 
 
+def by_turns(rows: DataFrame, pairs: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """The pairs of all tokens, a share of the tokens at a time, so that only that share is shuffled at once."""
+    return reduce(DataFrame.union, [materialise(pairs(rows.where(F.col("token").bitwiseAND(F.lit(TURNS - 1)) == turn)), "pairs") for turn in range(TURNS)])
+
+
 def first_candidates(rows: DataFrame) -> DataFrame:
     """Pairs (o, o2) of a class and the first class, of each size, that has one of its rarest tokens."""
     few = rows.where(F.col("pos") < SETTLING)
     first = few.groupBy("token", "n").agg(F.min(F.struct("o", "pos", "b0", "b1")).alias("v")).select("token", "n", "v.*")
     a, b = sides()
     pairs = few.alias("x").join(first.alias("y"), (a("token") == b("token")) & (b("o") < a("o")) & may_match(a, b, False))
-    return materialise(pairs.select("x.o", b("o").alias("o2")).distinct(), "pairs")
+    return pairs.select("x.o", b("o").alias("o2"))
 
 
 def all_candidates(rows: DataFrame, settled: DataFrame) -> DataFrame:
-    """Pairs (o, o2 before it) of classes of which the later one is not settled."""
-    settled = settled.select(F.col("o").alias("o_"))
-    if settled.count() <= SMALL_ROWS:
-        settled = F.broadcast(settled)
+    """Pairs (o, o2 before it) of classes of which the later one is not settled (o_)."""
     a, b = sides()
     sized = (a("n") > b("n")) | ((a("n") == b("n")) & (a("o") > b("o")))
     open_ = F.when(a("o") > b("o"), ~a("settled")).otherwise(~b("settled"))
-    found = []
-    for turn in range(TURNS):
-        share = rows.where(F.col("token").bitwiseAND(F.lit(TURNS - 1)) == turn)
-        told = share.join(settled, F.col("o") == F.col("o_"), "left").select("token", "o", "n", "pos", "b0", "b1", F.col("o_").isNotNull().alias("settled"))
-        index = told.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY) / (100 + SIMILARITY)))
-        pairs = told.alias("x").join(index.alias("y"), (a("token") == b("token")) & sized & open_ & may_match(a, b, True))
-        found.append(materialise(pairs.select(F.greatest("x.o", "y.o").alias("o"), F.least("x.o", "y.o").alias("o2")), "pairs"))
-    return reduce(DataFrame.union, found)
+    told = rows.join(settled, F.col("o") == F.col("o_"), "left").select("token", "o", "n", "pos", "b0", "b1", F.col("o_").isNotNull().alias("settled"))
+    index = told.where(F.col("pos") <= F.col("n") - F.ceil(F.col("n") * (2 * SIMILARITY) / (100 + SIMILARITY)))
+    pairs = told.alias("x").join(index.alias("y"), (a("token") == b("token")) & sized & open_ & may_match(a, b, True))
+    return pairs.select(F.greatest("x.o", "y.o").alias("o"), F.least("x.o", "y.o").alias("o2"))
 
 
 def matched(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The classes (o) of pairs whose token sets match."""
+    parts, pairs = pairs, materialise(pairs.distinct(), "pairs")
+    discard(parts)
     names = pairs.select("o").union(pairs.select("o2")).distinct()
     own = materialise(sets.select("o", "tokens").join(names, "o", "left_semi"), "candidates", "zstd")
     other = own.select(F.col("o").alias("o2"), F.col("tokens").alias("tokens2"))
@@ -223,8 +223,10 @@ def removed_lines(docs: DataFrame, rule: Rule) -> tuple[DataFrame, DataFrame]:
     lines = numbered_lines(docs, rule)
     sets = token_sets(docs, lines, rule)
     rows = prefix_rows(sets, rarity_levels(sets))
-    gone = matched(first_candidates(rows), sets)
-    gone = gone.union(matched(all_candidates(rows, gone), sets))
+    gone = matched(by_turns(rows, first_candidates), sets)
+    settled = gone.select(F.col("o").alias("o_"))
+    settled = F.broadcast(settled) if settled.count() <= SMALL_ROWS else settled
+    gone = gone.union(matched(by_turns(rows, lambda share: all_candidates(share, settled)), sets))
     discard(rows)
     discard(sets)
     return lines, gone

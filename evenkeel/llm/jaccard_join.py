@@ -11,17 +11,19 @@ words make one shingle of the whole sequence; no words, no set and no link. Two
    that more than one class has.
 3. Of two sets a, b with c common matrix rows, |a & b| <= c + max(n_a - p_a, n_b - p_b), p the number of
    matrix rows of a set, and a link needs |a & b| >= 3/7 (n_a + n_b): this bounds c from below, by sizes.
-4. In rounds similar classes are gathered in groups: each class is verified against one pivot, of those
-   that its shingles name (under another random order each round) the one with most common rows that
-   passes the bound. A round costs one comparison a class, however large a group of copies is.
-   Linked classes become one group.
+4. Similar classes are gathered in groups: in each of ROUNDS rounds a class meets its PIVOTS best pivots,
+   of those that its shingles name (under another random order each round) the ones with most common rows
+   that pass the bound, and is verified against them. Whoever meets is of one group; whoever links, of one
+   component. A round costs a few comparisons a class, however large a group of copies is.
 5. The rows summed by group are the token-group matrix: each group's union of matrix shingles, with the
    group's least and largest set. How many of a class's rows a group's union holds bounds c for all its
-   members; only groups that qualify are opened, and their members of fitting size verified. Pairs
-   within a group, which cannot change the components, are never made.
+   members; only groups that qualify are opened for it. A group is also opened for its own members outside
+   its largest component. Opening goes block by block, for any number of members: no pair is made but a link,
+   and pairs within a component, which cannot change it, give none.
 6. Components by label propagation with pointer jumping over the links found.
 
-Hashes are 64 bits (a class: 128 bits). A link is decided on the shingles of the two whole texts.
+Hashes are 64 bits; a class goes by 64 bits of its set's digest, and rows find their class by 128. A link
+is decided on the shingle hashes of the two whole texts.
 
 Defined cases: null and empty texts and texts of white space have n_shingles 0 and are their own
 component; rows that repeat a doc_id each get a row, and are one node; a null doc_id with words is a
@@ -31,13 +33,14 @@ node that sorts after all others; an empty table gives no rows; further columns
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.common import discard, materialise, release_shuffles, small_batches
+from evenkeel.llm.common import discard, materialise, small_batches
 from evenkeel.llm.components import components
 from evenkeel.llm.wordscan import NON_SPACE, Words, blocks, mix, rolling, scan_column
 
@@ -46,7 +49,10 @@ SIMILARITY = 75  # per cent
 BUCKETS = 1 << 20
 CHUNK = 1 << 14  # buckets in one row of partial counts
 LEAST_MARKS, MOST_MARKS = 1 << 20, 1 << 30  # bits; at most 128 MB
-MAX_ROUNDS = 4
+PIVOTS = 4  # for a class in a round
+DEALT = 500  # pairs of a pivot that meet one copy of its set
+ROUNDS = 2
+BLOCK = 1 << 17  # shingles
 
 SALT = np.uint64(0xD6E8FEB86659FD93)
 NOTHING = np.zeros(0, np.uint64)
@@ -193,51 +199,62 @@ def marks_of(names: DataFrame) -> np.ndarray:
     return out
 
 
-def class_texts(docs: DataFrame, names: DataFrame) -> DataFrame:
-    """(h1, text): a whole text for each of the classes named (h1).
+class Sets:
+    """The whole sets (sorted shingle hashes) of the classes asked for so far, each cut from its text once."""
 
-    Texts are read where they lie: a bit table of bounded size tells which may be wanted, so that only those
-    are shuffled; of a class's copies a task gives one.
-    """
-    marks = docs.sparkSession.sparkContext.broadcast(marks_of(names))
+    def __init__(self, docs: DataFrame):
+        self.docs, self.tables = docs, []
 
-    def run(batches):
-        bits = marks.value
-        given: set[int] = set()
-        for part, sets in each_set(batches, 0):
-            at, h1 = [], []
-            for i, s in enumerate(sets):
-                if len(s):
-                    name = digest(s)[0]
-                    bit = (name & 0xFFFFFFFFFFFFFFFF) % (8 * len(bits))
-                    if bits[bit >> 3] >> (bit & 7) & 1 and name not in given:
-                        given.add(name)
-                        at.append(i)
-                        h1.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(h1, pa.int64()), part.column(0).take(pa.array(at, pa.int64()))], ["h1", "text"])
-
-    return docs.mapInArrow(run, "h1 long, text string").join(names, "h1", "left_semi").dropDuplicates(["h1"])
-
-
-def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
-    """pairs (a, b) with linked: whether the sets of the two classes link, by their whole texts."""
+    def get(self, names: DataFrame) -> DataFrame:
+        """(h1, elements) of the classes named (h1), and of others asked for before."""
+        for held in self.tables:
+            names = names.join(held.select("h1"), "h1", "left_anti")
+        names = materialise(names, "names")
+        if names.limit(1).count() or not self.tables:
+            self.tables.append(materialise(self._cut(names), "sets"))
+        discard(names)
+        return reduce(DataFrame.union, self.tables)
+
+    def _cut(self, names: DataFrame) -> DataFrame:
+        """Texts are read where they lie: a bit table of bounded size tells which may be wanted, and of a class's copies a task gives one."""
+        marks = self.docs.sparkSession.sparkContext.broadcast(marks_of(names))
+
+        def run(batches):
+            bits = marks.value
+            given: set[int] = set()
+            for _, sets in each_set(batches, 0):
+                out = {}
+                for s in sets:
+                    if len(s):
+                        name = digest(s)[0]
+                        bit = (name & 0xFFFFFFFFFFFFFFFF) % (8 * len(bits))
+                        if bits[bit >> 3] >> (bit & 7) & 1 and name not in given:
+                            given.add(name)
+                            out[name] = s.tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.large_binary()).cast(pa.binary())], ["h1", "elements"])
+
+        return self.docs.mapInArrow(run, "h1 long, elements binary").join(names, "h1", "left_semi").dropDuplicates(["h1"])
+
+
+def verify(pairs: DataFrame, sets: Sets) -> DataFrame:
+    """pairs (a, b) with linked: whether the two classes' whole sets link.
+
+    A class that many pairs name as b is dealt out: its set goes once to every DEALT of them.
+    """
 
     def run(batches):
         for batch in batches:
-            for part in blocks(batch, 2):
-                b = part.column(1).to_pylist()
-                first = {x: k for k, x in reversed(list(enumerate(b)))}  # a pivot's text is cut once in a block
-                right = dict(zip(first, shingles(scan_column(part.column(3).take(pa.array(list(first.values()))), NON_SPACE)), strict=True))
-                left = shingles(scan_column(part.column(2), NON_SPACE))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([links(s, right[x]) for s, x in zip(left, b, strict=True)], pa.bool_())], ["a", "b", "linked"])
+            linked = [links(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(batch.column(2), batch.column(3), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
     pairs = materialise(pairs, "pairs")
-    names = pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct()
-    texts = materialise(class_texts(docs, names), "texts")
-    one = texts.select(F.col("h1").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("h1").alias("b"), F.col("text").alias("text_b"))
-    out = materialise(pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, linked boolean"), "verified")
-    discard(texts)
+    whole = sets.get(pairs.select(F.col("a").alias("h1")).union(pairs.select("b")).distinct())
+    shares = pairs.groupBy("b").agg(F.ceil(F.count("*") / DEALT).cast("int").alias("shares"))
+    one = pairs.join(shares, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("shares")).cast("int").alias("share"))
+    one = one.join(whole.select(F.col("h1").alias("a"), F.col("elements").alias("of_a")), "a")
+    two = whole.join(shares.withColumnRenamed("b", "h1"), "h1").select(F.col("h1").alias("b"), F.explode(F.sequence(F.lit(0), F.col("shares") - 1)).alias("share"), F.col("elements").alias("of_b"))
+    out = materialise(one.join(two, ["b", "share"]).select("a", "b", "of_a", "of_b").mapInArrow(run, "a long, b long, linked boolean"), "verified")
+    discard(pairs)
     return out
 
 
@@ -270,20 +287,69 @@ def qualifying(rows: DataFrame) -> DataFrame:
 
 
 def best_pivots(rows: DataFrame, turn: int) -> DataFrame:
-    """For each class the pivot, of another group, with most common rows among those this round's order names, if the bound allows a link."""
-    first = F.min(F.struct(F.xxhash64(F.lit(turn), "h1").alias("rank"), F.col("h1").alias("b"), F.col("label").alias("of"), F.col("n").alias("m")))
-    pivots = rows.groupBy("s").agg(first.alias("v")).select("s", "v.b", "v.of", "v.m")
-    met = rows.join(pivots, "s").where("label <> of").groupBy(F.col("h1").alias("a"), "n", "b", "m").agg(F.count("*").alias("c"))
+    """Pairs (a, b) of a class and the PIVOTS pivots, of other groups, with most common rows among those that this round's orders name, where the bound allows a link."""
+    orders = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "h1").alias("rank"), F.col("h1").alias("b"), F.col("label").alias("of"), F.col("n").alias("m"))) for k in range(PIVOTS)]
+    named = rows.groupBy("s").agg(F.array(*orders).alias("v")).select("s", F.explode("v").alias("v")).select("s", "v.b", "v.of", "v.m").distinct()
+    met = rows.join(named, "s").where("label <> of").groupBy(F.col("h1").alias("a"), "n", "b", "m").agg(F.count("*").alias("c"))
     met = met.where(F.col("c") >= least_common(F.col("n"), F.col("m"), F.col("m")))
-    return met.groupBy("a").agg(F.max(F.struct("c", "b")).alias("v")).select("a", "v.b")
+    most = F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), False), 1, PIVOTS)  # of at most PIVOTS pivots a row
+    return met.groupBy("a").agg(most.alias("v")).select("a", F.explode("v").alias("v")).select("a", "v.b")
+
+
+def asking(rows: DataFrame, members: DataFrame) -> DataFrame:
+    """(open, h1): the classes that a group must be opened for: those of its members that its largest component has not, and classes of other groups that qualify.
+
+    members: h1, open (the group), label (the component), n.
+    """
+    parts = members.groupBy("open", "label").agg(F.count("*").alias("m"))
+    main = parts.groupBy("open").agg(F.max(F.struct("m", "label")).alias("v")).select("open", F.col("v.label").alias("main"))
+    inside = members.join(main, "open").where("label <> main").select("open", "h1")
+    outside = qualifying(rows.join(members.select("h1", F.col("open").alias("label")), "h1")).select("open", "h1")
+    return inside.union(outside).distinct()
+
 
+def opened(rows: DataFrame, members: DataFrame, sets: Sets) -> DataFrame:
+    """Links (a, b) between a class that asks and members of the group opened for it, one for each component that the class meets in a block.
+
+    Classes that ask and members are dealt to blocks of about BLOCK shingles; a task has one block of either.
+    """
 
-def opened(rows: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of a class and a member of a group that qualifies for it, of sizes that allow a link, each once."""
-    members = labels.join(sizes, "h1").select(F.col("label").alias("open"), F.col("h1").alias("other"), F.col("n").alias("m"))
-    fits = F.least("n", "m") * 100 >= F.greatest("n", "m") * SIMILARITY
-    pairs = qualifying(rows).join(members, "open").where(fits)
-    return pairs.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")).distinct()
+    def compare(asks: pa.Table, held: pa.Table) -> pa.Table:
+        a, b, linked = asks.column("h1").to_pylist(), held.column("h1").to_numpy(), []
+        owned = [np.frombuffer(x.as_py(), np.uint64) for x in held.column("elements")]
+        size, of, label = np.array([len(x) for x in owned]), held.column("label").to_numpy(), asks.column("label").to_pylist()
+        every, owner = np.concatenate(owned), np.repeat(np.arange(len(owned)), size)
+        order = np.argsort(every, kind="stable")
+        every, owner = every[order], owner[order]
+        for k, x in enumerate(asks.column("elements")):
+            own = np.frombuffer(x.as_py(), np.uint64)
+            lo, hi = np.searchsorted(every, own, "left"), np.searchsorted(every, own, "right")
+            count = hi - lo
+            at = np.repeat(lo - np.cumsum(count) + count, count) + np.arange(count.sum())
+            common = np.bincount(owner[at], minlength=len(owned))
+            hit = np.flatnonzero((100 * common >= SIMILARITY * (len(own) + size - common)) & (of != label[k]))
+            linked += [(a[k], int(b[i])) for i in hit[np.unique(of[hit], return_index=True)[1]]]
+        return pa.table({"a": pa.array([x for x, _ in linked], pa.int64()), "b": pa.array([y for _, y in linked], pa.int64())})
+
+    asks = materialise(asking(rows, members), "asks")
+    there = members.join(asks.select("open").distinct(), "open", "left_semi")
+    asks = asks.join(members.select("h1", "label", "n"), "h1").select("open", "h1", "label", "n")
+    whole = sets.get(asks.select("h1").union(there.select("h1")).distinct())
+    blocks_of = lambda df, name: df.groupBy("open").agg(F.ceil(F.sum("n") / BLOCK).cast("int").alias(name))
+    blocks = blocks_of(asks, "asked").join(blocks_of(there, "held"), "open")
+    every = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    mine = lambda name: F.pmod(F.xxhash64("h1"), F.col(name)).cast("int")
+    one = asks.join(blocks, "open").join(whole, "h1").select("open", mine("asked").alias("x"), every("held").alias("y"), "h1", "label", "elements")
+    two = there.join(blocks, "open").join(whole, "h1").select("open", every("asked").alias("x"), mine("held").alias("y"), "h1", "label", "elements")
+    key = ["open", "x", "y"]
+    two = two.toDF(*two.columns)  # columns of its own, as both sides stem from members
+    links_found = materialise(one.groupBy(*key).cogroup(two.groupBy(*key)).applyInArrow(lambda x, y: compare(x, y) if x.num_rows and y.num_rows else compare_none(), "a long, b long"), "opened")
+    discard(asks)
+    return links_found
+
+
+def compare_none() -> pa.Table:
+    return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
 
 
 def merge(labels: DataFrame, links_found: DataFrame) -> DataFrame:
@@ -306,21 +372,21 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     texts = docs.select("text")
     counts = spark.sparkContext.broadcast(bucket_counts(texts))
     shared = materialise(shared_rows(matrix_rows(texts, counts)), "shared")
-    release_shuffles(spark)
     rows = materialise(shared.join(classes.select("h1", "n"), "h1"), "rows")
     discard(shared)
     sizes = rows.select("h1", "n").distinct()
     labels = materialise(sizes.select("h1", F.col("h1").alias("label")), "labels")
-    for turn in range(MAX_ROUNDS):
-        tried = verify(best_pivots(rows.join(labels, "h1"), turn), texts)
-        links_found = tried.where("linked").count()
-        if links_found:
-            labels = merge(labels, tried.where("linked"))
-        release_shuffles(spark)
-        if links_found < max(100, tried.count() // 20):  # what is left is few, or not alike
-            break
-    labels = merge(labels, verify(opened(rows.join(labels, "h1"), labels, sizes), texts).where("linked"))
-    release_shuffles(spark)
+    held = Sets(texts)
+    tried = []
+    for turn in range(ROUNDS):
+        tried.append(verify(best_pivots(rows.join(labels, "h1"), turn), held))
+        labels = merge(labels, tried[-1].where("linked"))
+    groups = merge(sizes.select("h1", F.col("h1").alias("label")), reduce(DataFrame.union, tried))
+    members = groups.select("h1", F.col("label").alias("open")).join(labels, "h1").join(sizes, "h1")
+    members = materialise(members.select("h1", "open", "label", "n"), "grouped")
+    labels = merge(labels, opened(rows, members, held))
+    for t in (rows, members, *tried, *held.tables):
+        discard(t)
     named = classes.join(labels, "h1", "left").withColumn("group", F.coalesce("label", "h1"))
     return sets, materialise(named.select("h1", "h2", "doc_id", "group"), "members")
 

@@ -4,8 +4,8 @@ Every rolling word k-gram (k = 2) of every text is joined on its hash to the k-g
 license templates, a fixed table. A match votes for the diagonal text position - template position of
 its document and template. Votes are summed by diagonal; neighbouring diagonals (words put in or left
 out) are merged; a merged span is verified by the share of the template's k-grams it holds, its length
-and, for the short base phrases, by all k-grams on one diagonal, which means the words themselves. The
-join compares two independent 64-bit hashes of the k-gram.
+and, for the short base phrases, by all k-grams on one diagonal. The join compares the hash of the k-gram
+and then its words, so every vote is for words that the text has.
 
 Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. Base phrases give the labels mit,
 apache and gpl; templates of longer passages add labels, and never take base ones away.
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.llm.common import small_batches
-from evenkeel.llm.wordscan import ALNUM, blocks, mix, rolling, scan, scan_column
+from evenkeel.llm.wordscan import ALNUM, Words, blocks, rolling, scan, scan_column
 
 K = 2
 COVERAGE = 0.75
@@ -51,57 +51,57 @@ TEMPLATES = {
 }
 
 
-def second_hash(hashes: np.ndarray, lengths: np.ndarray, heads: np.ndarray) -> np.ndarray:
-    """Another hash of each word, from its length and ends."""
-    return mix(hashes ^ mix(lengths.astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + heads))
-
-
-def word_hashes(words) -> tuple[np.ndarray, np.ndarray]:
-    n = len(words.starts)
-    heads = words.data[words.starts].astype(np.uint64) * np.uint64(256) + words.data[words.ends - 1] if n else np.zeros(0, np.uint64)
-    return words.hashes, second_hash(words.hashes, words.ends - words.starts, heads)
-
-
-def template_rows() -> list[tuple[int, int, int, int]]:
-    """(h1, h2, template, position) of every k-gram of every phrase and template."""
+def template_rows() -> list[tuple[int, str, int, int]]:
+    """(hash, words, template, position) of every k-gram of every phrase and template."""
     rows = []
     for number, (_, text, _) in enumerate(all_templates()):
         words = scan(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text.encode())]), ALNUM)
-        one, two = word_hashes(words)
-        for at, (a, b) in enumerate(zip(rolling(one, K).view(np.int64).tolist(), rolling(two, K).view(np.int64).tolist(), strict=True)):
-            rows.append((a, b, number, at))
+        for at, h in enumerate(rolling(words.hashes, K).view(np.int64).tolist()):
+            rows.append((h, gram_words(words, at), number, at))
     return rows
 
 
+def gram_words(words: Words, at: int) -> str:
+    return b" ".join(words.bytes_of(k) for k in range(at, at + K)).decode()
+
+
 def all_templates() -> list[tuple[str, str, bool]]:
     """(label, text, whether it is a base phrase)."""
     return [(k, v, True) for k, v in BASE.items()] + [(k, t, False) for k, ts in TEMPLATES.items() for t in ts]
 
 
 def grams(docs: DataFrame) -> DataFrame:
-    """key, doc_id, n_words, at, h1, h2: every rolling k-gram of every text, and one row with at = -1 for each text."""
+    """key, doc_id, n_words, at, h, words: every rolling k-gram of every text, and one row with at = -1 for each text.
+
+    words are the gram's own words where its hash is that of a template's gram, else null.
+    """
+    known = np.unique(np.array([h for h, *_ in template_rows()], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in blocks(batch, 2):
                 words = scan_column(part.column(2), ALNUM)
-                one, two = word_hashes(words)
-                one, two = rolling(one, K), rolling(two, K)
+                h = rolling(words.hashes, K).view(np.int64)
                 n = np.diff(words.doc_ptr)
-                doc = words.doc_of[: len(one)]
-                at = np.arange(len(one)) - words.doc_ptr[doc]
-                inside = at + K <= n[doc]
-                doc, at, one, two = doc[inside], at[inside], one[inside], two[inside]
+                doc = words.doc_of[: len(h)]
+                at = np.arange(len(h)) - words.doc_ptr[doc]
+                inside = np.flatnonzero(at + K <= n[doc])
+                doc, at, h = doc[inside], at[inside], h[inside]
                 every = np.arange(len(n))
-                of = np.concatenate([every, doc])
                 nothing = np.zeros(len(n), np.int64)
+                of = np.concatenate([every, doc])
+                hit = np.flatnonzero(np.isin(h, known))
+                said = np.zeros(len(of), np.int64)  # the first word list is that of the texts' own rows
+                said[len(n) :] = -1
+                said[len(n) + hit] = np.arange(1, len(hit) + 1)
+                each = pa.array(["", *(gram_words(words, k) for k in inside[hit].tolist())], pa.string())
                 pick = pa.array(of)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0).take(pick), part.column(1).take(pick), pa.array(n[of]), pa.array(np.concatenate([nothing - 1, at])), pa.array(np.concatenate([nothing, one.view(np.int64)])), pa.array(np.concatenate([nothing, two.view(np.int64)]))],
-                    ["key", "doc_id", "n_words", "at", "h1", "h2"],
+                    [part.column(0).take(pick), part.column(1).take(pick), pa.array(n[of]), pa.array(np.concatenate([nothing - 1, at])), pa.array(np.concatenate([nothing, h])), each.take(pa.array(said, mask=said < 0))],
+                    ["key", "doc_id", "n_words", "at", "h", "words"],
                 )
 
-    return docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, doc_id long, n_words long, at long, h1 long, h2 long")
+    return docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "key long, doc_id long, n_words long, at long, h long, words string")
 
 
 def scan_licenses(docs: DataFrame) -> DataFrame:
@@ -109,10 +109,10 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     known = all_templates()
-    rows = [(0, 0, -1, -1), *template_rows()]
-    table = spark.createDataFrame(rows, "h1 long, h2 long, template int, pos int")  # a fixed size: the templates above
+    rows = [(0, "", -1, -1), *template_rows()]
+    table = spark.createDataFrame(rows, "h long, words string, template int, pos int")  # a fixed size: the templates above
     facts = spark.createDataFrame([(i, label, base, len(re.findall(r"[a-z0-9]+", text)) - K + 1) for i, (label, text, base) in enumerate(known)] + [(-1, "", False, 0)], "template int, label string, base boolean, grams int")
-    votes = grams(docs).join(F.broadcast(table), ["h1", "h2"])
+    votes = grams(docs).join(F.broadcast(table), ["h", "words"])  # by hash, then by the words themselves
     votes = votes.groupBy("key", "doc_id", "n_words", "template", (F.col("at") - F.col("pos")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("at").alias("first"), F.max("at").alias("last"))
     votes = votes.join(F.broadcast(facts), "template")
     by = Window.partitionBy("key", "template").orderBy("diagonal", "first")

@@ -44,6 +44,8 @@ BLOCK_LINES = 256
 ARCHIVE_BYTES = 64 << 20
 WARC_DATE = "2024-01-01T00:00:00Z"
 SHARDS_BYTES = 64 << 20  # the table of shards' first keys may have so many bytes
+#: Bytes of records that a task fetches at most, about; with less to fetch, up to FETCH_TASKS tasks fetch this many at least.
+FETCH_BYTES, FETCH_TASKS, LEAST_FETCH_BYTES = 128 << 20, 64, 4 << 20
 
 
 def url_key(url: str | None) -> str:
@@ -184,13 +186,13 @@ def sort_key(urlkey: str, page_id: int | None) -> bytes:
 
 
 def write_index(entries: DataFrame, root: str) -> DataFrame:
-    """Sort entries into shards of compressed blocks; gives a row per shard: its first key, index file and directory file."""
+    """Sort entries into shards of compressed blocks; gives a row per shard: its first key, index file, directory file and the bytes of its records."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = Appender(root, "index", 1 << 62)
         lines: list[bytes] = []
         directory: list[bytes] = []
-        first, block_key = None, b""
+        first, block_key, total = None, b"", 0
 
         def flush():
             name, offset, length = out.add(zlib.compress(b"\n".join(lines), 6))
@@ -203,6 +205,7 @@ def write_index(entries: DataFrame, root: str) -> DataFrame:
             for urlkey, page_id, file, offset, length in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
                 key = sort_key(urlkey, page_id)
                 first = key if first is None else first
+                total += length
                 block_key = block_key if lines else key
                 lines.append(b"\t".join([key.hex().encode(), file.encode(), str(offset).encode(), str(length).encode()]))
                 if len(lines) == BLOCK_LINES:
@@ -213,13 +216,13 @@ def write_index(entries: DataFrame, root: str) -> DataFrame:
         rows = []
         if first is not None:
             sparse = Appender(root, "directory", 1 << 62)
-            rows.append((first, name, sparse.add(b"\n".join(directory))[0]))
+            rows.append((first, name, sparse.add(b"\n".join(directory))[0], total))
             sparse.close()
-        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.string(), pa.string()))]
-        yield pa.RecordBatch.from_arrays(columns, ["first_key", "index", "directory"])
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.binary(), pa.string(), pa.string(), pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["first_key", "index", "directory", "bytes"])
 
     ordered = entries.repartitionByRange("urlkey", "page_id").sortWithinPartitions("urlkey", "page_id")
-    return ordered.mapInArrow(run, "first_key binary, index string, directory string")
+    return ordered.mapInArrow(run, "first_key binary, index string, directory string, bytes long")
 
 
 class Shard:
@@ -252,7 +255,10 @@ class Shard:
 
 def lookup(captures: DataFrame, shards: DataFrame, root: str, schema: str = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long") -> DataFrame:
     """The records of the captures (page_id, url): a row per record found, read from the archives."""
-    table = sorted((bytes(r[0]), r[1], r[2]) for r in shards.collect())  # a row per index shard, bounded below
+    held = shards.collect()  # a row per index shard, bounded below
+    table = sorted((bytes(r[0]), r[1], r[2]) for r in held)
+    size = sum(r[3] for r in held)
+    tasks = max(1, -(-size // FETCH_BYTES), min(FETCH_TASKS, -(-size // LEAST_FETCH_BYTES)))
     if sum(len(k) + len(i) + len(d) for k, i, d in table) > SHARDS_BYTES:
         raise ValueError("the index has too many shards for one table of first keys; write it with fewer partitions")
     shared = captures.sparkSession.sparkContext.broadcast(table)
@@ -281,7 +287,8 @@ def lookup(captures: DataFrame, shards: DataFrame, root: str, schema: str = "pag
             yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, kinds, strict=True)], names)
 
     routed = captures.select("page_id", F.col("url").cast("string")).distinct().mapInArrow(route, "shard int, key binary").distinct()
-    return routed.repartition("shard", "key").sortWithinPartitions("shard", "key").mapInArrow(fetch, schema)
+    # By range, so that a block of the index is read by one or two tasks.
+    return routed.repartitionByRange(tasks, "shard", "key").sortWithinPartitions("shard", "key").mapInArrow(fetch, schema)
 
 
 def archive(pages: DataFrame) -> tuple[DataFrame, str]:

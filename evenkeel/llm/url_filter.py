@@ -5,9 +5,11 @@ allow list. Entries become validity intervals, [day of an "add", day of the key'
 list). A capture is judged by the entries active on the day of its fetch, of its host and all parent
 domains: the one with the longest key decides, and block beats allow on the same key.
 
-The verdict hangs on host and day alone. So the as-of join is made once for each pair of the two, which
-a sum before the shuffle finds, and captures meet their verdict by that pair: a join with one row on
-the other side, which Spark splits where a pair is hot.
+The as-of join puts the starts and ends of a key's intervals and the days it is asked for in one order and
+takes the last state before each day asked. A key has one row for a day there, however many captures ask,
+and only keys that are listed come so far; so a key with thousands of entries, or asked by a third of all
+captures, is a short list. The verdict hangs on host and day alone: captures meet it by that pair, a join
+with one row on the other side, which Spark splits where a pair is hot.
 
 Defined cases: a url without a host, or null, is not on any list; a null day is after no entry; of
 entries for one key, list and day "add" counts; entries with a null key, day or an unknown operation are
@@ -38,6 +40,19 @@ def intervals(entries: DataFrame) -> DataFrame:
     return days.withColumn("until", until).where("op = 'add'").select("key", "list", "since", "until")
 
 
+def active_keys(asked: DataFrame, spans: DataFrame) -> DataFrame:
+    """key, day, list of the days asked for (key, day) on which the key is listed: an as-of join with intervals. Block beats allow."""
+    ends = spans.where("until is not null").select("key", "list", F.col("until").alias("day"), F.lit(0).alias("turn"))
+    starts = spans.select("key", "list", F.col("since").alias("day"), F.lit(1).alias("turn"))  # after an end of the same day
+    changes = ends.union(starts)
+    listed = asked.select("key", "day").distinct().join(spans.select("key").distinct(), "key", "left_semi")
+    line = changes.union(listed.select("key", F.lit(None).cast("string"), "day", F.lit(2)))
+    upto = Window.partitionBy("key").orderBy("day", "turn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    on = lambda kind: F.last(F.when(F.col("list") == kind, F.col("turn") == 1), ignorenulls=True).over(upto)
+    states = line.select("key", "day", "turn", on("block").alias("block"), on("allow").alias("allow")).where("turn = 2 and (block or allow)")
+    return states.select("key", "day", F.when(F.col("block"), "block").otherwise("allow").alias("list"))
+
+
 def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col: str = "day") -> DataFrame:
     """captures with a struct: host, matched (the deciding key), list ("block", "allow" or "none"), kept."""
     name = fresh_name(captures.columns, "url_filter")
@@ -46,8 +61,8 @@ def judge(captures: DataFrame, entries: DataFrame, url_col: str = "url", day_col
     labels = F.split("host", r"\.")
     keys = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     asked = pairs.select("host", "day", F.explode(keys).alias("key"))
-    active = asked.join(intervals(entries), "key").where("since <= day and (until is null or day < until)")
-    best = F.max(F.struct(F.length("key").alias("n"), (F.col("list") == "block").alias("block"), "key", "list"))
+    active = asked.join(active_keys(asked, intervals(entries)), ["key", "day"])
+    best = F.max(F.struct(F.length("key").alias("n"), "key", "list"))
     verdict = active.groupBy(F.col("host").alias("h"), F.col("day").alias("d")).agg(best.alias("v"))
     met = rows.join(verdict, (F.col("host") == F.col("h")) & (F.col("day") == F.col("d")), "left")
     listed = F.coalesce("v.list", F.lit("none"))

@@ -1,12 +1,15 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 Words become symbols: an insult stem (in one of BINS strengths), a threat verb, a target (pronouns and
-groups of people), a negation, a reporting verb, or any other word. Sequential transducers rewrite
-the symbols of a clause: negation softens what follows within three words, reported speech marks what
-follows as quoted, and a target in the clause turns an insult or threat into an aimed one. They are
-composed into one machine; the last one in the chain gives each clause its weight. A document's
-features are sums over its matched clauses (no word counts alone), and a logistic model turns them
-into a score.
+groups of people), a negation, a reporting verb, a word of intent, an intensifier, or any other word.
+Weighted sequential transducers read the symbols of a clause: an insult weighs more right after an
+intensifier, a threat within three words of a word of intent; negation softens what follows within three
+words, reported speech marks what follows as quoted, and a target in the clause turns an insult or threat
+into an aimed one. They are composed into one machine, whose arcs carry the product of their weights; a
+clause weighs the sum of its arcs. A document's features are sums over its matched clauses (no word
+counts alone), and a logistic model turns them into a score. Insults and threats that are negated or
+reported count in no feature that raises a score, and no weight of the model may go against the meaning of
+its feature (SIGNS), so a clause never scores higher for being negated or reported.
 
 The grammar's fixed word lists know English. Further insult stems, of any language, are learned from
 labels: word beginnings of 3 to 8 characters whose documents are toxic far more often than others
@@ -48,75 +51,94 @@ BINS = 4
 INSULTS = "idiot moron imbecile stupid dumb fool loser scum trash garbage worthless pathetic disgusting clown bastard bitch asshole retard vermin filth pig rat scumbag jerk creep freak coward".split()
 THREATS = "kill hurt destroy burn hang shoot beat stab strangle smash crush murder".split()
 TARGETS = "you your yours yourself u he him his she her they them their people everyone everybody women men immigrants".split()
-NEGATIONS = "not no never don't doesn't isn't aren't wasn't weren't cannot without neither nor hardly".split()
+NEGATIONS = "not no never cannot without neither nor hardly don’t doesn’t didn’t isn’t aren’t wasn’t weren’t won’t can’t ain’t".split()
+#: What stands before the apostrophe of a contraction, as the scanner cuts it; a "t" follows.
+CONTRACTED = "don doesn didn isn aren wasn weren won can ain".split()
 REPORTS = "said says say told claimed claims wrote writes reported reports quoted called according alleged".split()
+INTENTS = "will ll gonna shall should must gotta wanna would".split()
+INTENSIFIERS = "such so total complete absolute utter fucking damn bloody really very".split()
 
 _BREAK = re.compile(rb"[.,;:!?\n()\"]")
 
 
 @dataclass(frozen=True)
 class Transducer:
-    """A sequential transducer: step(state, symbol) gives the next state and the symbol written."""
+    """A weighted sequential transducer: step(state, symbol) gives the next state, the symbol written and the arc's weight."""
 
     start: object
     step: object
 
     def then(self, other: Transducer) -> Transducer:
-        """What other makes of this one's output."""
+        """What other makes of this one's output; weights multiply."""
 
         def step(state, symbol):
-            mine, written = self.step(state[0], symbol)
-            theirs, out = other.step(state[1], written)
-            return (mine, theirs), out
+            mine, written, one = self.step(state[0], symbol)
+            theirs, out, two = other.step(state[1], written)
+            return (mine, theirs), out, one * two
 
         return Transducer((self.start, other.start), step)
 
-    def compiled(self, alphabet: Iterable) -> tuple[list[dict], list]:
-        """The reachable states as tables: symbol to (next state, output)."""
-        alphabet, names, tables, todo = list(alphabet), {self.start: 0}, [], [self.start]
+    def compiled(self, alphabet: Iterable) -> tuple[list[dict], list[dict]]:
+        """The reachable states as tables: symbol to (next state, output), and symbol to the arc's weight."""
+        alphabet, names, tables, weights, todo = list(alphabet), {self.start: 0}, [], [], [self.start]
         while todo:
-            state, row = todo.pop(0), {}
+            state, row, weight = todo.pop(0), {}, {}
             for symbol in alphabet:
-                to, out = self.step(state, symbol)
+                to, out, weight[symbol] = self.step(state, symbol)
                 if to not in names:
                     names[to] = len(names)
                     todo.append(to)
                 row[symbol] = (names[to], out)
             tables.append(row)
-        return tables, alphabet
+            weights.append(weight)
+        return tables, weights
 
 
-# A symbol is (kind, strength, how): kinds I insult, T threat, Y target, N negation, R report, W other; how: "", soft, quoted, aimed.
-ALPHABET = [(k, b, "") for k in "I" for b in range(BINS)] + [(k, 0, "") for k in "TYNRW"]
+# A symbol is (kind, strength, how): kinds I insult, T threat, Y target, N negation (1: a contraction), R report, M intent,
+# Q intensifier, W other; how: "", soft, quoted, aimed.
+ALPHABET = [(k, b, "") for k in "I" for b in range(BINS)] + [(k, 0, "") for k in "TYNRMQW"] + [("N", 1, "")]
+STRENGTH = [0.5, 1.0, 1.5, 2.0]
+
+
+def _insult(pressed, s):
+    return s[0] == "Q", s, STRENGTH[s[1]] * (1.25 if pressed else 1.0) if s[0] == "I" else 1.0
+
+
+def _threat(left, s):
+    if s[0] == "M":
+        return 3, s, 1.0
+    return max(0, left - 1), s, (0.4 if left else 0.2) if s[0] == "T" else 1.0
 
 
 def _negation(left, s):
     if s[0] == "N":
-        return 3, s
-    return max(0, left - 1), (s[0], s[1], "soft") if left and s[0] in "IT" else s
+        return 3 + s[1], s, 1.0
+    if left and s[0] in "IT":
+        return left - 1, (s[0], s[1], "soft"), 0.4
+    return max(0, left - 1), s, 1.0
 
 
 def _reported(inside, s):
     if s[0] == "R":
-        return True, s
-    return inside, (s[0], s[1], "quoted") if inside and s[0] in "IT" and not s[2] else s
+        return True, s, 1.0
+    return (inside, (s[0], s[1], "quoted"), 0.5) if inside and s[0] in "IT" and not s[2] else (inside, s, 1.0)
 
 
 def _target(state, s):
     seen, waiting = state
     if s[0] == "Y":  # what waits for a target is aimed at this one
-        return (True, None), ("Y", waiting or 0, "aimed" if waiting is not None else "")
+        return (True, None), ("Y", waiting or 0, "aimed" if waiting is not None else ""), 0.5 if waiting is not None else 0.0
     if s[0] in "IT" and not s[2]:
-        return (seen, None if seen else s[1]), (s[0], s[1], "aimed" if seen else "")
-    return (seen, waiting), s
+        return (seen, None if seen else s[1]), (s[0], s[1], "aimed" if seen else ""), (1.5 if s[0] == "I" else 4.0) if seen else 1.0
+    return (seen, waiting), s, 1.0 if s[0] in "IT" else 0.0
 
 
-GRAMMAR, _ = Transducer(0, _negation).then(Transducer(False, _reported)).then(Transducer((False, None), _target)).compiled(ALPHABET)
+MACHINE = Transducer(False, _insult).then(Transducer(0, _threat)).then(Transducer(0, _negation)).then(Transducer(False, _reported)).then(Transducer((False, None), _target))
+GRAMMAR, ARC_WEIGHTS = MACHINE.compiled(ALPHABET)
 
-KINDS = [("I", h) for h in ("", "aimed", "soft", "quoted")] + [("T", h) for h in ("", "aimed", "soft", "quoted")] + [("Y", "aimed")]
-STRENGTH = [0.5, 1.0, 1.5, 2.0]
-CLAUSE_WEIGHT = {("I", ""): 1.0, ("I", "aimed"): 1.5, ("I", "soft"): 0.4, ("I", "quoted"): 0.5, ("T", ""): 0.2, ("T", "aimed"): 1.0, ("T", "soft"): 0.1, ("T", "quoted"): 0.1, ("Y", "aimed"): 0.5}
 FEATURES = [f"bin{b}" for b in range(BINS)] + ["aimed", "soft", "quoted", "threats", "clauses", "heaviest", "total", "density"]
+#: The sign that the weight of each feature may have; 0: any.
+SIGNS = [1, 1, 1, 1, 1, -1, -1, 1, 0, 1, 1, 1]
 #: Weights of the features, and the constant, where there are too few labels.
 PRIOR = [0.3, 0.6, 1.0, 1.5, 0.5, -0.5, -0.3, 0.3, 0.3, 0.3, 0.3, 1.0, -3.0]
 
@@ -125,7 +147,7 @@ class Lexicon:
     """Fixed words, and stems with a strength each; the longest stem that begins a word counts."""
 
     def __init__(self, stems: dict[str, int]):
-        self.symbols = {w.encode(): (k, 0, "") for k, ws in (("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in ws}
+        self.symbols = {w.encode(): (k, 0, "") for k, ws in (("Q", INTENSIFIERS), ("M", INTENTS), ("Y", TARGETS), ("N", NEGATIONS), ("R", REPORTS)) for w in ws} | {w.encode(): ("N", 1, "") for w in CONTRACTED}
         self.exact = {w.encode(): ("T", 0, "") for w in THREATS} | {w.encode(): ("I", BINS - 1, "") for w in INSULTS}
         self.stems = {s.encode(): ("I", b, "") for s, b in stems.items()}
         self.lengths = sorted({len(s) for s in self.stems}, reverse=True)
@@ -179,16 +201,12 @@ def features(words: Words, lexicon: Lexicon) -> np.ndarray:
         for symbols in clauses(words, data, lexicon, a, b, near[bounds[d] : bounds[d + 1]]):
             state, weight = 0, 0.0
             for symbol in symbols:
+                weight += ARC_WEIGHTS[state][symbol]
                 state, (kind, strength, how) = GRAMMAR[state][symbol]
-                if (kind, how) not in CLAUSE_WEIGHT:
-                    continue
-                weight += CLAUSE_WEIGHT[kind, how] * (STRENGTH[strength] if kind != "T" else 1)
-                if kind == "I":
-                    row[strength] += 1
-                elif kind == "T":
-                    row[7] += 1
                 if how:
                     row[{"aimed": 4, "soft": 5, "quoted": 6}[how]] += 1
+                if kind in "IT" and how in ("", "aimed"):
+                    row[strength if kind == "I" else 7] += 1
             row[8] += 1
             row[9] = max(row[9], weight)
             row[10] += weight
@@ -259,18 +277,25 @@ def collect_counts(rows: DataFrame) -> list[tuple[str, int, int, int]]:
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> np.ndarray:
-    """Weights, the constant last, by Newton's method."""
-    x = np.column_stack([x, np.ones(len(x))])
-    w = np.zeros(x.shape[1])
-    penalty = np.full(len(w), ridge)
-    penalty[-1] = 1e-6
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + np.diag(penalty), x.T @ (y - p) - penalty * w)
-        w += step
-        if np.abs(step).max() < 1e-8:
-            break
-    return w
+    """Weights, the constant last, by Newton's method; features whose weight would go against SIGNS are left out (weight 0)."""
+    used = list(range(x.shape[1]))
+    while True:
+        own = np.column_stack([x[:, used], np.ones(len(x))])
+        w = np.zeros(own.shape[1])
+        penalty = np.full(len(w), ridge)
+        penalty[-1] = 1e-6
+        for _ in range(40):
+            p = 1 / (1 + np.exp(-np.clip(own @ w, -30, 30)))
+            step = np.linalg.solve((own * (p * (1 - p))[:, None]).T @ own + np.diag(penalty), own.T @ (y - p) - penalty * w)
+            w += step
+            if np.abs(step).max() < 1e-8:
+                break
+        against = [k for k, weight in zip(used, w[:-1], strict=True) if weight * SIGNS[k] < 0]
+        if not against:
+            out = np.zeros(x.shape[1] + 1)
+            out[[*used, -1]] = w
+            return out
+        used = [k for k in used if k not in against]
 
 
 @dataclass

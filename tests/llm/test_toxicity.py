@@ -70,6 +70,35 @@ def test_held_out_accuracy_and_learned_stems(spark):
     assert kept.columns == docs.columns and {10_000, 10_001, 10_002} <= {r.doc_id for r in kept.collect()}
 
 
+def test_negated_and_reported_clauses_score_lower(spark):
+    rows, labels = corpus()
+    model = tox.train(spark.createDataFrame(rows, DOCS), spark.createDataFrame(labels, LABELS))
+    for trained in (model, tox.Model({}, tox.PRIOR)):
+        of = lambda text: float(trained.scores(tox.features(scan_column(pa.array([text]), ALNUM), tox.Lexicon(trained.stems)))[0])
+        for plain, others in {
+            "he is an idiot": ["he is not an idiot", "he isn't an idiot", "he isn’t an idiot", "they said he is an idiot"],
+            "we will hurt you": ["we will never hurt you", "we won't hurt you", "she claimed we will hurt you"],
+        }.items():
+            assert all(of(other) <= of(plain) for other in others)
+        assert all(of(other) < of("he is an idiot") for other in ("he isn't an idiot", "he isn’t an idiot", "they said he is an idiot"))
+    assert all(w * sign >= 0 for w, sign in zip(model.weights, tox.SIGNS))
+
+
+def test_arc_weights():
+    def weight(text):
+        words = scan_column(pa.array([text]), ALNUM)
+        state = total = 0
+        for symbols in tox.clauses(words, words.data.tobytes(), tox.Lexicon({}), 0, len(words.starts), np.arange(len(words.starts))):
+            for s in symbols:
+                total += tox.ARC_WEIGHTS[state][s]
+                state = tox.GRAMMAR[state][s][0]
+        return total
+
+    assert weight("you idiot") > weight("an idiot") > weight("never an idiot") > 0
+    assert weight("a total idiot") > weight("a idiot") > weight("said a idiot")
+    assert weight("we will burn you") > weight("we burn you") > weight("we burn") > weight("we never burn")
+
+
 def test_held_out_labels_are_not_used(spark):
     rows, labels = corpus(300)
     docs = spark.createDataFrame(rows, DOCS)

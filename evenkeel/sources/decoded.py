@@ -230,6 +230,8 @@ def dated(value: int, logical: str | None):
             return datetime(1970, 1, 1) + timedelta(milliseconds=value)
         case "timestamp-micros" | "local-timestamp-micros":
             return datetime(1970, 1, 1) + timedelta(microseconds=value)
+        case "timestamp-nanos" | "local-timestamp-nanos":  # Spark's timestamps count microseconds
+            return datetime(1970, 1, 1) + timedelta(microseconds=value // 1000)
         case _:
             return value
 
@@ -308,8 +310,7 @@ PLUS, MINUS = frozenset((0xC, 0xF, 0xA, 0xE)), frozenset((0xD, 0xB))
 def signed(digits: list[int], sign: int, scale: int) -> decimal.Decimal | None:
     if not digits or any(d > 9 for d in digits) or sign not in PLUS | MINUS:
         return None
-    value = decimal.Decimal(int("".join(map(str, digits)))).scaleb(-scale)
-    return -value if sign in MINUS else value
+    return decimal.Decimal((int(sign in MINUS), tuple(digits), -scale))
 
 
 def packed(raw: bytes, scale: int = 0) -> decimal.Decimal | None:
@@ -318,9 +319,12 @@ def packed(raw: bytes, scale: int = 0) -> decimal.Decimal | None:
     return signed(halves[:-1], halves[-1], scale) if halves else None
 
 
-def zoned(raw: bytes, scale: int = 0) -> decimal.Decimal | None:
-    """A zoned decimal: a digit in the low half of each byte, the sign in the high half of the last."""
-    return signed([b & 15 for b in raw], raw[-1] >> 4, scale) if raw else None
+def zoned(raw: bytes, scale: int = 0, encoding: str = "cp037") -> decimal.Decimal | None:
+    """A zoned decimal: digits of the encoding, and in the last byte a digit in the low half, the sign in the high half. What is not one is None."""
+    body = raw[:-1].decode(encoding, "replace")
+    if not raw or re.search("[^0-9]", body):
+        return None
+    return signed([*map(int, body), raw[-1] & 15], raw[-1] >> 4, scale)
 
 
 @dataclass
@@ -364,15 +368,15 @@ class MainframeFile(Source):
     def value(self, raw: bytes, f: dict):
         kind, scale = self.kind(f), int(f.get("scale", 0))
         try:
-            if kind == "packed":
-                return packed(raw, scale)
-            if kind == "zoned":
-                return zoned(raw, scale)
+            if kind in ("packed", "zoned"):
+                number = packed(raw, scale) if kind == "packed" else zoned(raw, scale, self.encoding)
+                return number if number is None or number.adjusted() < 38 - scale else None
             if kind == "binary":
                 return int.from_bytes(raw, "big", signed=True) if 0 < len(raw) <= 8 else None
             text = raw.decode(self.encoding, "replace")
             if kind == "int":
-                return int(text.strip()) if re.fullmatch(r"[+-]?\d+", text.strip()) else None
+                number = int(text.strip()) if re.fullmatch(r"[+-]?[0-9]{1,25}", text.strip()) else None
+                return number if number is not None and -(1 << 63) <= number < 1 << 63 else None
             return text.strip() if self.trim else text
         except (ValueError, LookupError, decimal.DecimalException):
             return None

@@ -125,6 +125,19 @@ def test_mainframe(spark, tmp_path):
             MainframeFile("x", bad)
 
 
+def test_mainframe_values_that_are_none(spark, tmp_path):
+    assert [zoned(bytes.fromhex(h)) for h in ("4040f5", "c1f2d3", "f1f2", "f1fa", "f112", "f0d0")] == [None, None, 12, None, None, 0]
+    assert zoned(b"12\x33", encoding="ascii") is None and zoned(b"12\xc3", encoding="ascii") == 123
+    assert packed(bytes.fromhex("1234567890123456789012345678901d"), 2) == Decimal("-12345678901234567890123456789.01")
+    fields = [{"name": "n", "start": 1, "length": 20, "type": "int"}, {"name": "p", "start": 21, "length": 20, "type": "comp3"}, {"name": "z", "start": 41, "length": 3, "type": "zoned"}]
+    long, short = bytes.fromhex("9" * 39 + "c"), bytes.fromhex("0" * 37 + "12d")
+    numbers = ["99999999999999999999", "9223372036854775807".rjust(20), "-9223372036854775808", "9223372036854775808".rjust(20)]
+    data = b"".join(n.encode("cp037") + p + z for n, p, z in zip(numbers, (long, short, long, short), (b"\x40\x40\xf5", b"\xf1\xf2\xd3", b"\xf0\xf0\xc0", b"\xc1\xf2\xd3"), strict=True))
+    (tmp_path / "m.bin").write_bytes(data)
+    got = rows(source(str(tmp_path / "m.bin"), mainframe=True, fields=fields, record_length=43), spark)
+    assert sorted(got, key=repr) == sorted([(None, None, None), (9223372036854775807, -12, -123), (-9223372036854775808, None, 0), (None, -12, None)], key=repr)
+
+
 def test_excel(spark, tmp_path):
     main, rel = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
     with zipfile.ZipFile(tmp_path / "a.xlsx", "w") as z:

@@ -17,7 +17,7 @@ def sample_keys(df: DataFrame, keys: list[str], n: int) -> DataFrame:
 
 
 def only_keys(df: DataFrame, sample: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose key tuple is in the sample; null keys are in none. The sample is bounded, and so is sent to all tasks."""
+    """The rows whose key tuple is in the sample; null keys are in none. Spark broadcasts the sample where it is small and shuffles both sides where it is not."""
     small = sample.select(*(named(k).alias(f"__k{i}") for i, k in enumerate(keys)))
     same = reduce(lambda a, b: a & b, (named(k) == F.col(f"__k{i}") for i, k in enumerate(keys)))
-    return df.join(F.broadcast(small), same, "left_semi")
+    return df.join(small, same, "left_semi")

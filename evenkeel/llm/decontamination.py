@@ -226,3 +226,21 @@ def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     marked = annotate(docs.select("doc_id", "text"), benchmark)
     verdict = F.col(marked.columns[-1])
     return marked.select("doc_id", *(verdict[c].alias(c) for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "longest")))
+
+
+REPORT_SQL = rf"""
+WITH w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), i AS (
+    SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), v AS (SELECT item_id, w, least(len(w), {WINDOW}) AS width FROM i WHERE len(w) > 0),
+x AS (SELECT item_id, width, q, array_to_string(w[q:q + width - 1], ' ') AS gram FROM (SELECT *, unnest(range(1, len(w) - width + 2)) AS q FROM v)),
+p AS (SELECT doc_id, w, width, unnest(range(1, len(w) - width + 2)) AS place FROM w, (SELECT DISTINCT width FROM v)),
+h AS (SELECT doc_id, place, p.width, item_id, place - q AS diagonal FROM p JOIN x ON x.width = p.width AND x.gram = array_to_string(w[place:place + p.width - 1], ' ')),
+g AS (SELECT *, place - row_number() OVER (PARTITION BY doc_id, item_id, diagonal, width ORDER BY place) AS run FROM h),
+y AS (SELECT doc_id, max(n) AS longest FROM (SELECT doc_id, width + count(*) - 1 AS n FROM g GROUP BY doc_id, item_id, diagonal, width, run) GROUP BY doc_id),
+m AS (SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id, place + unnest(range(0, width)) AS word FROM h) GROUP BY doc_id),
+k AS (SELECT doc_id, count(*) AS n, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
+SELECT w.doc_id, len(w.w) AS n_words, coalesce(m.n, 0) AS n_hit, coalesce(k.n, 0) AS n_items, sha256(coalesce(k.items, '')) AS items_sha256, coalesce(m.n, 0) > 0 AS contaminated,
+    coalesce(y.longest, 0) AS longest
+FROM w LEFT JOIN m USING (doc_id) LEFT JOIN k USING (doc_id) LEFT JOIN y USING (doc_id)"""

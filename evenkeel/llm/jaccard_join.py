@@ -424,3 +424,17 @@ def keep_one(docs: DataFrame) -> DataFrame:
     if not repeated.limit(1).count():
         return rest
     return rest.join(*listed(repeated), "left_anti").unionByName(rest.join(*listed(repeated), "left_semi").dropDuplicates(["doc_id", "text"]))
+
+
+REPORT_SQL = rf"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {SHINGLE} THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - {SHINGLE - 2}), lambda i: array_to_string(w[i:i + {SHINGLE - 1}], ' '))) END AS g FROM w
+), n AS (SELECT doc_id, len(g) AS n FROM s), e AS (SELECT doc_id, unnest(g) AS x FROM s),
+c AS (SELECT a.doc_id AS u, b.doc_id AS v, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT u, v FROM c JOIN n p ON p.doc_id = u JOIN n q ON q.doc_id = v WHERE 100 * k >= {SIMILARITY} * (p.n + q.n - k)),
+b AS (SELECT u, v FROM l UNION SELECT v, u FROM l),
+r AS (SELECT u, v FROM b UNION SELECT r.u, b.v FROM r JOIN b ON r.v = b.u)
+SELECT n.doc_id, n.n AS n_shingles, coalesce(least(n.doc_id, min(r.v)), n.doc_id) AS component_id FROM n LEFT JOIN r ON r.u = n.doc_id GROUP BY n.doc_id, n.n"""

@@ -270,3 +270,22 @@ def report(docs: DataFrame) -> DataFrame:
     marked = mark(docs.select("doc_id", "text"), rule=WORDS)
     verdict = F.col(f"`{marked.columns[-1]}`")
     return marked.select("doc_id", verdict["n_lines"].alias("n_lines"), verdict["n_removed"].alias("n_removed"), F.sha2(verdict["text"], 256).alias("text_sha256"))
+
+
+#: For tables in which a doc_id is that of one document.
+REPORT_SQL = rf"""
+WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS parts FROM documents),
+l AS (SELECT doc_id, unnest(range(1, len(parts) + 1)) AS place, unnest(parts) AS line FROM d WHERE text IS NOT NULL),
+c AS (SELECT line, min(struct_pack(d := doc_id, k := place)) AS p, list_distinct(regexp_extract_all(lower(line), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS g FROM l GROUP BY line),
+s AS (SELECT line, p, g, len(g) AS n, row_number() OVER (ORDER BY p) AS o FROM c WHERE len(g) > 0),
+t AS (SELECT o, n, unnest(g) AS token FROM s), f AS (SELECT token, count(*) AS df FROM t GROUP BY token),
+r AS (SELECT o, n, token, row_number() OVER (PARTITION BY o ORDER BY df, token) AS rank FROM t JOIN f USING (token)),
+x AS (SELECT o, n, token FROM r WHERE rank <= n - ceil(n * {SIMILARITY} / 100.0) + 1),
+q AS (SELECT DISTINCT a.o AS late, b.o AS early FROM x a JOIN x b ON a.token = b.token AND b.o < a.o AND 100 * least(a.n, b.n) >= {SIMILARITY} * greatest(a.n, b.n)),
+m AS (SELECT late, len(list_intersect(a.g, b.g)) AS k, a.n + b.n AS total FROM q JOIN s a ON a.o = late JOIN s b ON b.o = early),
+z AS (SELECT DISTINCT late FROM m WHERE 100 * k >= {SIMILARITY} * (total - k)),
+stay AS (SELECT l.doc_id, l.place, l.line FROM l JOIN c USING (line) LEFT JOIN s USING (line) LEFT JOIN z ON z.late = s.o
+    WHERE len(c.g) = 0 OR (z.late IS NULL AND c.p = struct_pack(d := l.doc_id, k := l.place))),
+k AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY place) AS text FROM stay GROUP BY doc_id)
+SELECT d.doc_id, CASE WHEN d.text IS NULL THEN 0 ELSE len(parts) END AS n_lines, CASE WHEN d.text IS NULL THEN 0 ELSE len(parts) - coalesce(k.n, 0) END AS n_removed,
+    CASE WHEN d.text IS NOT NULL THEN sha256(coalesce(k.text, '')) END AS text_sha256 FROM d LEFT JOIN k USING (doc_id)"""

@@ -65,8 +65,11 @@ QUERIES = {
     "op10_url_filter": op10_url_filter,
     "pipeline": pipeline,
 }
-#: The other operators are beyond SQL (trained models, sketches, packings) or too slow in it; tests hold them against brute force.
+#: The other operators are beyond SQL (trained models, diagonal votes, sketches, packings); tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": decontamination.REPORT_SQL,
+    "op2_line_dedup": line_dedup.REPORT_SQL,
+    "op7_jaccard_join": jaccard_join.REPORT_SQL,
     "op5_warc": warc.REPORT_SQL,
     "op6_chat_format": chat_format.REPORT_SQL,
     "op10_url_filter": url_filter.REPORT_SQL,

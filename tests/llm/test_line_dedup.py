@@ -121,3 +121,18 @@ def test_query_and_stage_match_brute_force_on_words(spark, monkeypatch):
         assert got[102].n_removed == got[104].n_removed == 1 and got[101].n_removed == 0
         kept = {r.doc_id: r.text for r in ld.deduplicate(df).collect()}
         assert kept == {d: t for d, t in want.items() if t is None or any(map(word_set, t.split("\n"))) or not any(map(word_set, dict(rows)[d].split("\n")))}
+
+
+def test_order_of_equal_and_missing_doc_ids(spark):
+    from pyspark.sql import functions as F
+
+    near = [f"alpha beta gamma delta epsilon zeta eta theta {w}" for w in "abcdefghijkl"]
+    rows = [(7, f"{t}\nonly here {i} xyz") for i, t in enumerate(near[:6])] + [(None, t) for t in near[6:]] + [(7, near[0] + "\nonly here 0 xyz")]
+    df = spark.createDataFrame([(d, t, len(t), "x") for d, t in rows], DOCS).repartition(3)
+    key = {r.text: (r.a, r.b) for r in df.select("text", F.xxhash64("text").alias("a"), F.xxhash64(F.lit(7), "text").alias("b")).collect()}
+    first = min((d is None, d or 0, *key[t]) for d, t in rows)
+    for r in ld.mark(df, rule=ld.WORDS).collect():
+        stays = (r.doc_id is None, r.doc_id or 0, *key[r.text]) == first
+        lines = r.text.split("\n")
+        assert r["line_dedup_"].text == "\n".join(lines if stays else lines[1:])
+        assert r["line_dedup_"].emptied == (len(lines) == 1 and not stays)

@@ -50,3 +50,14 @@ def test_empty_tables(spark):
     assert uf.judge(none, list_).count() == 0
     row = uf.judge(spark.createDataFrame([(1, "http://a.b/", DAY, "x")], CAPTURES), list_).first()
     assert tuple(row[4]) == ("a.b", None, "none", True)
+
+
+def test_one_key_with_thousands_of_entries(spark):
+    entries = [("hot.example", "block", at(2 * d), "add" if d % 2 else "remove") for d in range(3000)] + [("hot.example", "allow", at(100), "add")]
+    rows = [(i, "https://a.hot.example/p", at(37 * i % 6100 - 20), "x") for i in range(300)]
+    out = uf.judge(spark.createDataFrame(rows, CAPTURES), spark.createDataFrame(entries, ENTRIES))
+    last = {d: (d // 2) % 2 == 1 for d in range(6000)}
+    for r in out.collect():
+        d = (r.day - DAY).days
+        blocked = last[d] if 0 <= d < 6000 else d >= 6000
+        assert r["url_filter_"].list == ("block" if blocked else "allow" if d >= 100 else "none"), d

@@ -71,10 +71,22 @@ def quoted(name: str) -> str:
     return '"' + name.replace('"', '""') + '"'
 
 
-def read_sql(spark: SparkSession, conn: str, query: str, chunk_size: int, streaming: bool = True, **options: str) -> DataFrame:
+def read_jdbc(spark: SparkSession, options: dict[str, str], query: str, column: str | None = None, parts: int = 1) -> DataFrame:
+    """A query's rows. With a column of numbers, dates or timestamps they come over so many connections, in ranges between its least and largest value."""
+    reader = spark.read.format("jdbc").options(**options)
+    if column and parts > 1:
+        mark = "`" if options["url"].startswith(("jdbc:mysql", "jdbc:mariadb")) else '"'
+        name = mark + column.replace(mark, 2 * mark) + mark
+        ends = spark.read.format("jdbc").options(**options).option("query", f"SELECT min({name}) AS lo, max({name}) AS hi FROM ({query}) q").load().first()
+        if ends[0] is not None:
+            return reader.options(dbtable=f"({query}) q", partitionColumn=column, lowerBound=str(ends[0]), upperBound=str(ends[1]), numPartitions=str(parts)).load()
+    return reader.option("query", query).load()
+
+
+def read_sql(spark: SparkSession, conn: str, query: str, chunk_size: int, streaming: bool = True, column: str | None = None, parts: int = 1) -> DataFrame:
     path = sqlite_path(conn)
     if path is None:
-        return spark.read.format("jdbc").options(**jdbc_options(conn), fetchsize=str(chunk_size if streaming else 0), **options).option("query", query).load()
+        return read_jdbc(spark, jdbc_options(conn) | {"fetchsize": str(chunk_size if streaming else 0)}, query, column, parts)
     import sqlite3
 
     if not Path(path).exists():
@@ -90,11 +102,13 @@ class SqlTable(Source):
     schema: str | None = None
     chunk_size: int = 50_000
     streaming: bool = True
+    partition_column: str | None = None
+    num_partitions: int = 16
     keep = True
 
     def load(self, spark: SparkSession) -> DataFrame:
         name = f"{self.schema}.{self.table}" if self.schema else self.table
-        return read_sql(spark, self.conn, f"SELECT * FROM {name}", self.chunk_size, self.streaming)
+        return read_sql(spark, self.conn, f"SELECT * FROM {name}", self.chunk_size, self.streaming, self.partition_column, self.num_partitions)
 
     def describe(self) -> str:
         return f"SqlTable({self.table})"
@@ -106,10 +120,12 @@ class SqlQuery(Source):
     query: str
     chunk_size: int = 50_000
     streaming: bool = True
+    partition_column: str | None = None
+    num_partitions: int = 16
     keep = True
 
     def load(self, spark: SparkSession) -> DataFrame:
-        return read_sql(spark, self.conn, self.query, self.chunk_size, self.streaming)
+        return read_sql(spark, self.conn, self.query, self.chunk_size, self.streaming, self.partition_column, self.num_partitions)
 
     def describe(self) -> str:
         return "SqlQuery"
@@ -161,6 +177,8 @@ class PostgresSource(Source):
     schema: str = "public"
     attach_alias: str | None = None
     chunk_size: int = 50_000
+    partition_column: str | None = None
+    num_partitions: int = 16
     keep = True
 
     def __post_init__(self):
@@ -174,8 +192,10 @@ class PostgresSource(Source):
         return {"url": url, "driver": JDBC["postgresql"][1], "fetchsize": str(self.chunk_size)} | {k: s[k] for k in ("user", "password") if k in s}
 
     def load(self, spark: SparkSession) -> DataFrame:
-        reader = spark.read.format("jdbc").options(**self.options())
-        return (reader.option("query", self.query) if self.query else reader.option("dbtable", f"{quoted(self.schema)}.{quoted(self.table)}")).load()
+        if self.query or self.partition_column:
+            query = self.query or f"SELECT * FROM {quoted(self.schema)}.{quoted(self.table)}"
+            return read_jdbc(spark, self.options(), query, self.partition_column, self.num_partitions)
+        return spark.read.format("jdbc").options(**self.options()).option("dbtable", f"{quoted(self.schema)}.{quoted(self.table)}").load()
 
     def describe(self) -> str:
         return f"PostgresSource({self.table or 'query'})"
@@ -190,6 +210,8 @@ class JdbcQuery(Source):
     user: str | None = None
     password: str | None = None
     properties: dict[str, str] = field(default_factory=dict)
+    partition_column: str | None = None
+    num_partitions: int = 16
     keep = True
 
     def load(self, spark: SparkSession) -> DataFrame:
@@ -200,7 +222,7 @@ class JdbcQuery(Source):
             if not Path(self.driver_jar).exists():
                 raise SourceError(f"no driver jar at {self.driver_jar}")
             spark.sparkContext._jsc.addJar(self.driver_jar)
-        return spark.read.format("jdbc").options(url=self.jdbc_url, query=self.query, **options).load()
+        return read_jdbc(spark, options | {"url": self.jdbc_url}, self.query, self.partition_column, self.num_partitions)
 
     def describe(self) -> str:
         return f"JdbcQuery({self.jdbc_url})"

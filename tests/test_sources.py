@@ -177,6 +177,9 @@ def test_jdbc_with_an_embedded_database(spark):
     spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string").write.format("jdbc").options(url=url, dbtable="t", driver="org.apache.derby.jdbc.EmbeddedDriver").mode("overwrite").save()
     q = JdbcQuery(url, "org.apache.derby.jdbc.EmbeddedDriver", query='SELECT * FROM t WHERE "id" > 1')
     assert rows(q, spark) == [(2, "b")]
+    wide = 'SELECT "id", "v" FROM t UNION ALL SELECT "id" + 10 AS "id", "v" FROM t'
+    split = JdbcQuery(url, "org.apache.derby.jdbc.EmbeddedDriver", query=wide, partition_column="id", num_partitions=2).load(spark)
+    assert split.rdd.getNumPartitions() == 2 and sorted(r[0] for r in split.collect()) == [1, 2, 11, 12]
     with pytest.raises(SourceError):
         JdbcQuery(url).load(spark)
     with pytest.raises(SourceError):

@@ -9,7 +9,9 @@ import csv
 import io
 import json
 import re
+import sqlite3
 import xml.etree.ElementTree as ET
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +21,7 @@ from evenkeel.plans.catalogue import CHANGED_SQL, ORACLE_SQL, ORDERS, QUERIES, S
 from evenkeel.plans.compare import compare
 from evenkeel.result import COUNTERS
 from evenkeel.scratch import scratch_path
-from evenkeel.sources import source
+from evenkeel.sources import SqlTable, source
 from evenkeel.types import PartitionSpec
 
 __all__ = ["ORACLE_SQL", "QUERIES"]  # the catalogue's and these
@@ -210,6 +212,16 @@ def source_mainframe_lines(spark, sf):
     return loaded(spark, path, mainframe=True, fields=fields, encoding="ascii")
 
 
+@query("source_sqlite", NATION_SQL)
+def source_sqlite(spark, sf):
+    path = scratch_path(spark, "source").removeprefix("file://") + ".db"
+    Path(path).parent.mkdir(parents=True, exist_ok=True)
+    with sqlite3.connect(path) as db:
+        db.execute("CREATE TABLE nation (id INTEGER, name TEXT, region INTEGER)")
+        db.executemany("INSERT INTO nation VALUES (?, ?, ?)", map(tuple, nation(spark, sf).collect()))  # 25 rows at any scale
+    return SqlTable(f"sqlite:///{path}", "nation", chunk_size=10).load(spark)
+
+
 @query("source_compare_csv_parquet", result_sql(f"SELECT (SELECT count(*) FROM nation) AS row_count_left, (SELECT count(*) FROM nation) AS row_count_right, {NO_COUNTERS}"))
 def source_compare_csv_parquet(spark, sf):
     df = nation(spark, sf)

@@ -256,3 +256,25 @@ def test_sampled_semi_join_takes_all_keys_of_its_sql(spark, tmp_path):
     con = stored_orders(spark, tmp_path, spark.range(101_000).selectExpr("id * 50 as o_orderkey"))
     got = catalogue.QUERIES["sampled_semi_join"](spark, str(tmp_path)).first().n
     assert got == con.execute(catalogue.ORACLE_SQL["sampled_semi_join"]).fetchone()[0] > 100_000
+
+
+def test_public_queries_match_their_sql(spark):
+    """The queries through compare(), sources and reports, against DuckDB over the small tables."""
+    import glob
+    import os
+
+    import duckdb
+    import pytest
+
+    from evenkeel.plans import public
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    db = duckdb.connect()
+    for path in glob.glob(f"{folder}/*.parquet"):
+        db.sql(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}{'/*.parquet' if os.path.isdir(path) else ''}'")
+    for name in ("compare_keyed", "compare_partitioned", "source_sqlite", "source_xml", "source_mainframe_lines", "report_csv_diff"):
+        df = public.QUERIES[name](spark, folder)
+        columns = ", ".join(f'"{c}"' for c in df.columns)
+        assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, db.sql(f"SELECT {columns} FROM ({public.ORACLE_SQL[name]})").fetchall())), name

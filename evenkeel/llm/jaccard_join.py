@@ -15,15 +15,17 @@ words make one shingle of the whole sequence; no words, no set and no link. Two
    of those that its shingles name (under another random order each round) the ones with most common rows
    that pass the bound, and is verified against them. Whoever meets is of one group; whoever links, of one
    component. A round costs a few comparisons a class, however large a group of copies is.
-5. The rows summed by group are the token-group matrix: each group's union of matrix shingles, with the
-   group's least and largest set. How many of a class's rows a group's union holds bounds c for all its
-   members; only groups that qualify are opened for it. A group is also opened for its own members outside
+5. The rows gathered by group are the token-group matrix: each group's matrix shingles, with the least and
+   largest set, the first place and the longest rest of shared rows among the members that have the shingle.
+   All that two sets have in common stands from their first common shingle on, so its places and rests bound
+   |a & b| and c; only groups that pass at some shingle, as if it were the first, are opened. A group is also opened for its own members outside
    its largest component. Opening goes block by block, for any number of members: no pair is made but a link,
    and pairs within a component, which cannot change it, give none.
 6. Components by label propagation with pointer jumping over the links found.
 
 Hashes are 64 bits; a class goes by 64 bits of its set's digest, and rows find their class by 128. A link
-is decided on the shingle hashes of the two whole texts.
+is decided on the shingle hashes of the two whole texts. Of a class one text is cut again for this, found by
+its hash.
 
 Defined cases: null and empty texts and texts of white space have n_shingles 0 and are their own
 component; rows that repeat a doc_id each get a row, and are one node; a null doc_id with words is a
@@ -101,31 +103,28 @@ def text_hashes() -> list[Column]:
 
 
 def describe_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, the size of its set, a 128-bit digest of the set, and two hashes of the text."""
+    """doc_id, the size of its set, a 128-bit digest of the set, and two hashes of the text; and of each task BUCKETS / CHUNK rows (chunk, counts) of how many shingles fall in each bucket."""
 
     def run(batches):
+        total = np.zeros(BUCKETS, np.uint32)
         for part, sets in each_set(batches, 1):
+            for s in sets:
+                np.add.at(total, bucket(s), np.uint32(1))
             h = [digest(s) for s in sets]
             columns = [pa.array([len(s) for s in sets], pa.int64()), pa.array([x for x, _ in h], pa.int64()), pa.array([y for _, y in h], pa.int64())]
-            yield pa.RecordBatch.from_arrays([part.column(0), *columns, part.column(2), part.column(3)], ["doc_id", "n_shingles", "h1", "h2", "x", "y"])
-
-    return docs.select("doc_id", "text", *text_hashes()).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, x long, y long")
+            none = [pa.nulls(len(sets), pa.int32()), pa.nulls(len(sets), pa.binary())]
+            yield pa.RecordBatch.from_arrays([part.column(0), *columns, part.column(2), part.column(3), *none], names)
+        chunks = total.reshape(-1, CHUNK)
+        at = np.flatnonzero(chunks.any(1))
+        counts = [pa.array(at.astype(np.int32)), pa.array([chunks[k].astype("<u4").tobytes() for k in at], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), pa.int64()) for _ in names[:6]), *counts], names)
 
+    names = ["doc_id", "n_shingles", "h1", "h2", "x", "y", "chunk", "counts"]
+    return docs.select("doc_id", "text", *text_hashes()).mapInArrow(run, "doc_id long, n_shingles long, h1 long, h2 long, x long, y long, chunk int, counts binary")
 
-def bucket_counts(docs: DataFrame) -> np.ndarray:
-    """How many shingles of all documents fall in each of BUCKETS buckets: a table of fixed size.
 
-    A task sends its counts as BUCKETS / CHUNK rows; what receives a chunk adds them up as they come.
-    """
-
-    def count(batches):
-        total = np.zeros(BUCKETS, np.uint32)
-        for _, sets in each_set(batches, 0):
-            for s in sets:
-                np.add.at(total, bucket(s), np.uint32(1))
-        chunks = total.reshape(-1, CHUNK)
-        at = np.flatnonzero(chunks.any(1))
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array([chunks[k].astype("<u4").tobytes() for k in at], pa.binary())], ["chunk", "counts"])
+def bucket_counts(described: DataFrame) -> np.ndarray:
+    """How many shingles of all documents fall in each of BUCKETS buckets: a table of fixed size. What receives a chunk adds its rows up as they come."""
 
     def add(batches):
         held: dict[int, np.ndarray] = {}
@@ -134,7 +133,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
                 held[k] = held.get(k, 0) + np.frombuffer(data, "<u4").astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([v.astype("<i8").tobytes() for v in held.values()], pa.binary())], ["chunk", "counts"])
 
-    rows = docs.mapInArrow(count, "chunk int, counts binary").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
+    rows = described.where("chunk is not null").select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary")
     out = np.zeros(BUCKETS, np.int64)
     for k, data in rows.collect():
         out[k * CHUNK : (k + 1) * CHUNK] += np.frombuffer(bytes(data), "<i8")
@@ -142,7 +141,7 @@ def bucket_counts(docs: DataFrame) -> np.ndarray:
 
 
 def matrix_rows(docs: DataFrame, counts) -> DataFrame:
-    """(shingle, class) for the rarest shingles of every set, once for each class in a block of texts."""
+    """(shingle, class, place) for the rarest shingles of every set, in the order that all sets have, once for each class in a block of texts."""
 
     def run(batches):
         rarity = counts.value
@@ -152,38 +151,46 @@ def matrix_rows(docs: DataFrame, counts) -> DataFrame:
                 if len(s) and (name := digest(s)) not in rows:
                     rows[name] = s[np.lexsort((s, rarity[bucket(s)]))[: prefix_length(len(s))]]
             of = np.repeat(np.array([h1 for h1, _ in rows], np.int64), [len(s) for s in rows.values()])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([NOTHING, *rows.values()]).view(np.int64)), pa.array(of)], ["s", "h1"])
+            at = np.concatenate([np.zeros(0, np.int32), *(np.arange(len(s), dtype=np.int32) for s in rows.values())])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([NOTHING, *rows.values()]).view(np.int64)), pa.array(of), pa.array(at)], ["s", "h1", "at"])
 
-    return docs.mapInArrow(run, "s long, h1 long")
+    return docs.mapInArrow(run, "s long, h1 long, at int")
 
 
 def shared_rows(rows: DataFrame) -> DataFrame:
     """The matrix rows whose shingle more than one class has, each once: one shuffle, then sorted runs read in bounded memory."""
 
     def run(batches):
-        last = None  # the row before: shingle, class, whether it has been given out
+        last = None  # the row before: shingle, class, place, whether it has been given out
         for batch in batches:
-            s, c = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            s, c, at = (batch.column(k).to_numpy() for k in range(3))
             if last is not None:
-                s, c = np.append(last[0], s), np.append(last[1], c)
+                s, c, at = np.append(last[0], s), np.append(last[1], c), np.append(last[2], at)
             new = np.append(True, (s[1:] != s[:-1]) | (c[1:] != c[:-1]))[: len(s)]
-            s, c = s[new], c[new]
+            s, c, at = s[new], c[new], at[new]
             if not len(s):
                 continue
             before = np.append(False, s[1:] == s[:-1])
             keep = before | np.append(before[1:], False)
             given = keep.copy()
-            if last is not None and last[2]:
+            if last is not None and last[3]:
                 keep[0] = False
                 given[0] = True
-            last = (s[-1], c[-1], bool(given[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(c[keep])], ["s", "h1"])
+            last = (s[-1], c[-1], at[-1], bool(given[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(s[keep]), pa.array(c[keep]), pa.array(at[keep])], ["s", "h1", "at"])
+
+    return rows.repartition("s").sortWithinPartitions("s", "h1").mapInArrow(run, "s long, h1 long, at int")
 
-    return rows.repartition("s").sortWithinPartitions("s", "h1").mapInArrow(run, "s long, h1 long")
+
+def placed_rows(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """s, h1, n, at, r, rest: the shared matrix rows, with how many the class has, and how many of those from this row on in the order of places."""
+    each = shared.groupBy("h1").agg(F.sort_array(F.collect_list(F.struct("at", "s"))).alias("v")).join(classes.select("h1", "n"), "h1")
+    each = each.select("h1", "n", F.size("v").alias("r"), F.posexplode("v").alias("k", "e"))
+    return each.select("e.s", "h1", "n", "e.at", "r", (F.col("r") - F.col("k")).alias("rest"))
 
 
 def marks_of(names: DataFrame) -> np.ndarray:
-    """A packed bit table in which the bits of all the names (h1) are set: 16 bits a name, within bounds. A full table lets all pass, which costs time, not results."""
+    """A packed bit table in which the bits of all the names (a hash each) are set: 16 bits a name, within bounds. A full table lets all pass, which costs time, not results."""
     size = min(MOST_MARKS, max(LEAST_MARKS, 1 << (16 * max(1, names.count())).bit_length()))
 
     def set_bits(batches):
@@ -200,40 +207,47 @@ def marks_of(names: DataFrame) -> np.ndarray:
 
 
 class Sets:
-    """The whole sets (sorted shingle hashes) of the classes asked for so far, each cut from its text once."""
+    """The whole sets (sorted shingle hashes) of the classes asked for so far, each cut once from one text (x, its hash) of the class."""
 
-    def __init__(self, docs: DataFrame):
-        self.docs, self.tables = docs, []
+    def __init__(self, docs: DataFrame, classes: DataFrame):
+        self.docs, self.classes, self.tables = docs, classes, []
 
     def get(self, names: DataFrame) -> DataFrame:
         """(h1, elements) of the classes named (h1), and of others asked for before."""
         for held in self.tables:
             names = names.join(held.select("h1"), "h1", "left_anti")
-        names = materialise(names, "names")
+        names = materialise(names.join(self.classes.select("h1", "x"), "h1"), "names")
         if names.limit(1).count() or not self.tables:
             self.tables.append(materialise(self._cut(names), "sets"))
         discard(names)
         return reduce(DataFrame.union, self.tables)
 
     def _cut(self, names: DataFrame) -> DataFrame:
-        """Texts are read where they lie: a bit table of bounded size tells which may be wanted, and of a class's copies a task gives one."""
-        marks = self.docs.sparkSession.sparkContext.broadcast(marks_of(names))
+        """Texts are read where they lie: a bit table of bounded size tells by their hashes which are cut, and of a class's copies a task gives one."""
+        marks = self.docs.sparkSession.sparkContext.broadcast(marks_of(names.select("x")))
 
-        def run(batches):
+        def wanted(batches):
             bits = marks.value
             given: set[int] = set()
-            for _, sets in each_set(batches, 0):
+            for batch in batches:
+                x = batch.column(1).to_numpy().view(np.uint64)
+                bit = (x % np.uint64(8 * len(bits))).astype(np.int64)
+                at = [int(k) for k in np.flatnonzero(bits[bit >> 3] >> (bit & 7).astype(np.uint8) & 1) if not (x[k] in given or given.add(x[k]))]
+                if at:
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at))], ["text"])
+
+        def run(batches):
+            given: set[int] = set()
+            for _, sets in each_set(wanted(batches), 0):
                 out = {}
                 for s in sets:
-                    if len(s):
-                        name = digest(s)[0]
-                        bit = (name & 0xFFFFFFFFFFFFFFFF) % (8 * len(bits))
-                        if bits[bit >> 3] >> (bit & 7) & 1 and name not in given:
-                            given.add(name)
-                            out[name] = s.tobytes()
+                    if len(s) and (name := digest(s)[0]) not in given:
+                        given.add(name)
+                        out[name] = s.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.large_binary()).cast(pa.binary())], ["h1", "elements"])
 
-        return self.docs.mapInArrow(run, "h1 long, elements binary").join(names, "h1", "left_semi").dropDuplicates(["h1"])
+        texts = self.docs.select("text", text_hashes()[0])
+        return texts.mapInArrow(run, "h1 long, elements binary").join(names, "h1", "left_semi").dropDuplicates(["h1"])
 
 
 def verify(pairs: DataFrame, sets: Sets) -> DataFrame:
@@ -267,31 +281,39 @@ def least_common(n: Column, lo: Column, hi: Column) -> Column:
     return F.when(low <= high, F.least(need(low), need(high)))
 
 
-def qualifying(rows: DataFrame) -> DataFrame:
-    """(h1, n, open): the groups that a class must be compared with, by the bound. rows: s, h1, n, label.
+def may_link(n: Column, at: Column, rest: Column, lo: Column, hi: Column, at2: Column, rest2: Column) -> Column:
+    """Whether a set of n shingles may link with one of lo to hi, if the first shingle both have stands at these places (at2: or later) and starts these rests of their shared rows.
+
+    All that both have stands from there on in either set; it is SIMILARITY / (100 + SIMILARITY) of both sizes.
+    """
+    low = F.greatest(lo, F.ceil(n * SIMILARITY / 100))
+    high = F.least(hi, F.floor(n * 100 / SIMILARITY))
+    placed = ((n - at) * (100 + SIMILARITY) >= (n + low) * SIMILARITY) & ((high - at2) * (100 + SIMILARITY) >= (n + high) * SIMILARITY)
+    return (low <= high) & placed & (F.least(rest, rest2) >= least_common(n, lo, hi))
+
+
+def meetings(rows: DataFrame) -> DataFrame:
+    """(h1, open), with repeats: the groups that a class must be compared with, by the bounds. rows: s, h1, n, at, rest, label, own (the classes of that group).
 
     Of two groups the one with fewer classes asks and the other is opened (of equals, that of the smaller label asks).
     """
-    members = F.count_distinct("h1").alias("m")
-    groups = rows.groupBy(F.col("label").alias("open")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), members)
-    mixed = rows.groupBy("s").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1").select("s")
-    own = groups.select(F.col("open").alias("label"), F.col("m").alias("own"))
-    rows = rows.join(mixed, "s").join(own, "label")
-    matrix = rows.select("s", F.col("label").alias("open")).distinct().join(groups, "open")
-    least = least_common(F.col("n"), F.col("lo"), F.col("hi"))
+    rows = rows.repartition("s")  # one exchange for the matrix and the join
+    matrix = rows.groupBy("s", F.col("label").alias("open"), F.col("own").alias("m")).agg(F.min("n").alias("lo"), F.max("n").alias("hi"), F.min("at").alias("at2"), F.max("rest").alias("rest2"))
     asks = (F.col("m") > F.col("own")) | ((F.col("m") == F.col("own")) & (F.col("open") > F.col("label")))
     x, y = rows.alias("x"), matrix.alias("y")
-    met = x.join(y, (F.col("x.s") == F.col("y.s")) & asks & least.isNotNull())
-    met = met.groupBy("h1", "n", "open", "lo", "hi").agg(F.count("*").alias("c"))
-    return met.where(F.col("c") >= least).select("h1", "n", "open")
+    met = x.join(y, (F.col("x.s") == F.col("y.s")) & asks & may_link(*(F.col(c) for c in ("n", "at", "rest", "lo", "hi", "at2", "rest2"))))
+    return met.select("h1", "open")
 
 
 def best_pivots(rows: DataFrame, turn: int) -> DataFrame:
     """Pairs (a, b) of a class and the PIVOTS pivots, of other groups, with most common rows among those that this round's orders name, where the bound allows a link."""
-    orders = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "h1").alias("rank"), F.col("h1").alias("b"), F.col("label").alias("of"), F.col("n").alias("m"))) for k in range(PIVOTS)]
-    named = rows.groupBy("s").agg(F.array(*orders).alias("v")).select("s", F.explode("v").alias("v")).select("s", "v.b", "v.of", "v.m").distinct()
-    met = rows.join(named, "s").where("label <> of").groupBy(F.col("h1").alias("a"), "n", "b", "m").agg(F.count("*").alias("c"))
-    met = met.where(F.col("c") >= least_common(F.col("n"), F.col("m"), F.col("m")))
+    orders = [F.min(F.struct(F.xxhash64(F.lit(turn * PIVOTS + k), "h1").alias("rank"), F.col("h1").alias("b"), F.col("label").alias("of"), F.col("n").alias("m"), F.col("r").alias("r2"))) for k in range(PIVOTS)]
+    rows = rows.repartition("s")  # one exchange for the pivots and the join
+    pivot = lambda v: F.struct(v["b"].alias("b"), v["of"].alias("of"), v["m"].alias("m"), v["r2"].alias("r2"))
+    named = rows.groupBy("s").agg(F.array_distinct(F.transform(F.array(*orders), pivot)).alias("v")).select("s", F.explode("v").alias("v")).select("s", "v.*")
+    least = least_common(F.col("n"), F.col("m"), F.col("m"))
+    met = rows.join(named, "s").where("label <> of").where(F.least("r", "r2") >= least).groupBy(F.col("h1").alias("a"), "n", "b", "m").agg(F.count("*").alias("c"))
+    met = met.where(F.col("c") >= least)
     most = F.slice(F.sort_array(F.collect_list(F.struct("c", "b")), False), 1, PIVOTS)  # of at most PIVOTS pivots a row
     return met.groupBy("a").agg(most.alias("v")).select("a", F.explode("v").alias("v")).select("a", "v.b")
 
@@ -304,7 +326,9 @@ def asking(rows: DataFrame, members: DataFrame) -> DataFrame:
     parts = members.groupBy("open", "label").agg(F.count("*").alias("m"))
     main = parts.groupBy("open").agg(F.max(F.struct("m", "label")).alias("v")).select("open", F.col("v.label").alias("main"))
     inside = members.join(main, "open").where("label <> main").select("open", "h1")
-    outside = qualifying(rows.join(members.select("h1", F.col("open").alias("label")), "h1")).select("open", "h1")
+    owns = members.groupBy("open").agg(F.count("*").alias("own"))
+    of = members.join(owns, "open").select("h1", F.col("open").alias("label"), "own")
+    outside = meetings(rows.join(of, "h1")).select("open", "h1")
     return inside.union(outside).distinct()
 
 
@@ -367,19 +391,21 @@ def grouped(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", F.col("text").cast("string").alias("text"))
-    sets = materialise(describe_sets(docs), "sets")
-    classes = materialise(sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n")), "classes")
+    described = materialise(describe_sets(docs), "sets", "zstd")
+    sets = described.where("chunk is null").drop("chunk", "counts")
+    classes = materialise(sets.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.min("x").alias("x")), "classes")
     texts = docs.select("text")
-    counts = spark.sparkContext.broadcast(bucket_counts(texts))
+    counts = spark.sparkContext.broadcast(bucket_counts(described))
     shared = materialise(shared_rows(matrix_rows(texts, counts)), "shared")
-    rows = materialise(shared.join(classes.select("h1", "n"), "h1"), "rows")
+    rows = materialise(placed_rows(shared, classes), "rows")
     discard(shared)
     sizes = rows.select("h1", "n").distinct()
     labels = materialise(sizes.select("h1", F.col("h1").alias("label")), "labels")
-    held = Sets(texts)
+    held = Sets(texts, classes)
     tried = []
     for turn in range(ROUNDS):
-        tried.append(verify(best_pivots(rows.join(labels, "h1"), turn), held))
+        labelled = rows.join(labels, "h1") if turn else rows.withColumn("label", F.col("h1"))
+        tried.append(verify(best_pivots(labelled, turn), held))
         labels = merge(labels, tried[-1].where("linked"))
     groups = merge(sizes.select("h1", F.col("h1").alias("label")), reduce(DataFrame.union, tried))
     members = groups.select("h1", F.col("label").alias("open")).join(labels, "h1").join(sizes, "h1")

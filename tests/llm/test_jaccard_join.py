@@ -1,6 +1,7 @@
 import random
 import re
 
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.llm import jaccard_join as jj
@@ -104,3 +105,35 @@ def test_components_on_a_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 99), (99, 99)], "u long, v long")
     got = {r.node: r.component for r in components(edges).collect()}
     assert got == {**{i: 0 for i in range(41)}, 99: 99, 100: 99}
+
+
+def test_near_copies_without_links_do_not_meet(spark):
+    r = random.Random(5)
+    base = [f"b{i}" for i in range(170)]
+    texts = []
+    for i in range(80):  # six words of each differ, so that nearly no two link, but all share shingles
+        own = set(r.sample(range(170), 6))
+        texts.append((i, " ".join(f"e{i}x{k}" if k in own else w for k, w in enumerate(base)), "x"))
+    docs = spark.createDataFrame(texts, DOCS).select("doc_id", "text")
+    described = jj.describe_sets(docs)
+    classes = described.where("n_shingles > 0").selectExpr("h1", "n_shingles AS n")
+    counts = spark.sparkContext.broadcast(jj.bucket_counts(described))
+    rows = jj.placed_rows(jj.shared_rows(jj.matrix_rows(docs.select("text"), counts)), classes)
+    rows = rows.selectExpr("*", "h1 AS label", "1L AS own").cache()
+    common = rows.alias("x").join(rows.alias("y"), "s").where("x.h1 < y.h1").count()
+    assert common > 5000
+    assert jj.meetings(rows).count() * 10 < common
+
+
+def test_first_common_place_keeps_every_link(spark):
+    rows = fixture(3, 160)
+    docs = spark.createDataFrame(rows, DOCS).select("doc_id", "text")
+    described = jj.describe_sets(docs)
+    classes = described.where("n_shingles > 0").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"))
+    counts = spark.sparkContext.broadcast(jj.bucket_counts(described))
+    placed = jj.placed_rows(jj.shared_rows(jj.matrix_rows(docs.select("text"), counts)), classes).selectExpr("*", "h1 AS label", "1L AS own")
+    met = {frozenset((x.h1, x.open)) for x in jj.meetings(placed).collect()}
+    sets = {x.h1: shingle_set(rows[x.doc_id][1]) for x in classes.collect()}
+    linked = [(a, b) for a, s in sets.items() for b, t in sets.items() if a < b and 100 * len(s & t) >= 75 * len(s | t)]
+    assert len(linked) > 50
+    assert not [(len(sets[a]), len(sets[b]), len(sets[a] & sets[b])) for a, b in linked if frozenset((a, b)) not in met]
